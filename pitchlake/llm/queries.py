@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import golay, mixing, packing
+from . import golay, mixing, packing, pii, quality
 from .shared import table
 
 
@@ -14,6 +14,14 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -24,6 +32,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_golay": op4_simhash_golay,
+    "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
 }
