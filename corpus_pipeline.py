@@ -7,15 +7,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlake.llm import golay, mixing, packing
+from pitchlake.llm import golay, mixing, packing, pii, quality
 
 Stage = tuple[str, object]
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return golay.drop_duplicates(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("copy")
 
@@ -25,7 +33,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("good_quality", good_quality),
     ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
     ("mix_sources", mix_sources),
     ("pack", pack),
 ]
