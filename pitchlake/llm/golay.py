@@ -30,11 +30,11 @@ from .shared import cut, fresh, q
 
 BITS = 23
 SEGMENTS = 12
-KEYED = 6
+KEYED = 7
 CHOSEN = 3
 NEAREST = 2
-#: Of 276 bits; a fifth of the bits means a cosine of 0.81 between the sets of words.
-MAX_BITS = 55
+#: Of 276 bits; a sixth of the bits means a cosine of 0.86 between the sets of words.
+MAX_BITS = 47
 _WORDS = -(-SEGMENTS * BITS // 64)
 SLOTS = 1 << 12
 
