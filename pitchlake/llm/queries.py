@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import golay, mixing, packing, pii, quality
+from . import golay, mixing, packing, pii, quality, ring
 from .shared import table
 
 
+def op1_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.shard(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ring": op1_ring,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
