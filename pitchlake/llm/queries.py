@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import golay, mixing, packing, pii, quality, ring
+from . import golay, mixing, packing, pii, quality, ring, warc
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op1_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.salvaged_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring": op1_ring,
+    "op2_warc": op2_warc,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,9 @@ def unit_hash(*parts: Column) -> Column:
     """A number in [0, 1) from the MD5 of the parts joined by '|'; SQL engines agree on it."""
     text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under the session's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("shared")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
