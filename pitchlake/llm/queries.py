@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import golay, mixing, packing, pii, quality, ring, warc
+from . import balltree, golay, mixing, packing, pii, quality, ring, warc
 from .shared import table
 
 
@@ -18,6 +18,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.salvaged_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring": op1_ring,
     "op2_warc": op2_warc,
+    "op3_balltree": op3_balltree,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_pii": op5_pii,
     "op6_quality": op6_quality,
@@ -48,4 +53,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
 }
 
-SQL: dict[str, str] = {"op7_mixing": mixing.sql()}
+SQL: dict[str, str] = {"op3_balltree": balltree.sql(), "op7_mixing": mixing.sql()}
