@@ -140,6 +140,8 @@ def top_k(points: DataFrame, k: int = K, key: str = "vec_id", vector: str = "emb
     """
     vecs, width = V.clean(points, key, vector)
     n = vecs.count()
+    if n < 2:
+        return V.nothing(points, key)
     shards = max(1, -(-n // shard_rows))
     centers = _centers(V.sample(vecs, SAMPLE, SEED)[1], shards)
 
@@ -185,7 +187,8 @@ def top_k(points: DataFrame, k: int = K, key: str = "vec_id", vector: str = "emb
 
         asked = cut(own.select("shard", "id", "v", "kth").mapInArrow(route, "shard string, home string, id long, v array<double>, kth double"))
         # Queries of one shard in another: both sides are bounded, however many queries a shard gets.
-        targets = asked.select("shard", "home").distinct().join(sharded, "shard")
+        pairs = asked.select(F.col("shard").alias("to"), F.col("home").alias("of")).distinct()
+        targets = pairs.join(sharded, pairs["to"] == sharded["shard"]).select("to", "of", "id", "v")
 
         def away(xs: pa.Table, qs: pa.Table) -> pa.Table:
             if not xs.num_rows or not qs.num_rows:
@@ -194,7 +197,7 @@ def top_k(points: DataFrame, k: int = K, key: str = "vec_id", vector: str = "emb
             s, f = search(x, xs["id"].to_numpy(), build(x), V.matrix(qs["v"], width), qs["id"].to_numpy(), k, qs["kth"].to_numpy())
             return pa.table([qs["id"], V.near_column(s, f)], names=["id", "near"])
 
-        far = targets.groupBy("shard", "home").cogroup(asked.groupBy("shard", "home")).applyInArrow(away, f"id long, near {V.NEAR}")
+        far = targets.groupBy("to", "of").cogroup(asked.groupBy("shard", "home")).applyInArrow(away, f"id long, near {V.NEAR}")
         found = found.unionByName(far.where(F.size("near") > 0))
     return V.ranked(found, k, key)
 
