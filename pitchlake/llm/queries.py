@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balltree, golay, mixing, packing, pii, quality, ring, warc
+from . import balltree, golay, mixing, packing, permutation, pii, quality, ring, warc
 from .shared import table
 
 
@@ -42,6 +42,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.neighbors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring": op1_ring,
     "op2_warc": op2_warc,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
+    "op9_permutation": op9_permutation,
 }
 
 SQL: dict[str, str] = {"op3_balltree": balltree.sql(), "op7_mixing": mixing.sql()}

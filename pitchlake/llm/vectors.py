@@ -78,3 +78,8 @@ def near_column(score: np.ndarray, ids: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(there.sum(1))]).astype(np.int32)
     items = pa.StructArray.from_arrays([pa.array(-score[there] + 0.0), pa.array(ids[there])], names=["minus", "nid"])
     return pa.ListArray.from_arrays(pa.array(offsets), items).cast(_NEAR)
+
+
+def nothing(points: DataFrame, key: str) -> DataFrame:
+    """The result of a search where there is nothing to find."""
+    return points.sparkSession.createDataFrame([], f"{key} long, rank int, neighbor_id long, score double")
