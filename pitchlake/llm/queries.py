@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balltree, golay, mixing, packing, permutation, pii, quality, ring, warc
+from . import balltree, golay, htmltext, mixing, packing, permutation, pii, quality, ring, warc
 from .shared import table
 
 
@@ -46,6 +46,10 @@ def op9_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.neighbors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ring": op1_ring,
     "op2_warc": op2_warc,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_permutation": op9_permutation,
+    "op10_html": op10_html,
 }
 
 SQL: dict[str, str] = {"op3_balltree": balltree.sql(), "op7_mixing": mixing.sql()}
