@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
@@ -239,13 +239,14 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents without those that ``duplicates`` lists: one document of each group stays.
 
     All columns are kept. Rows with a null doc_id or no fingerprint stay; a doc_id that is
-    repeated stays as one row.
+    repeated stays as one row, that of the least text.
     """
     gone, nth = fresh(docs, "gone", "nth")
     kept = docs.join(duplicates(docs).select(F.col("doc_id").alias(gone)), q("doc_id").cast("long") == q(gone), "left_anti")
     ids = docs.select(q("doc_id").alias("id")).where("id is not null")
     if ids.groupBy("id").count().where("count > 1").isEmpty():
         return kept
-    # Only where some doc_id is repeated; nulls are told apart by a number of their own.
-    kept = kept.withColumn(nth, F.when(q("doc_id").isNull(), F.monotonically_increasing_id()))
-    return kept.dropDuplicates(["doc_id", nth]).drop(nth)
+    # Only where some doc_id is repeated.
+    rest = [q(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    order = Window.partitionBy(q("doc_id")).orderBy(q("text").asc_nulls_last(), F.xxhash64(*rest))
+    return kept.withColumn(nth, F.row_number().over(order)).where(q("doc_id").isNull() | (q(nth) == 1)).drop(nth)

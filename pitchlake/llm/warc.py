@@ -1,7 +1,7 @@
 """WARC files: a writer, and a reader that salvages what damage leaves.
 
-The reader checks every record: the gzip member's own checksum, the version line, the header, the content
-length, the closing blank lines and the block digest. After a failed check it searches on for the next gzip
+The reader checks every record: the gzip member's own checksum, the version line, the header and its needed
+fields, the content length, the closing blank lines and the block digest. After a failed check it searches on for the next gzip
 magic number or version line at which all checks pass, goes on from there, and reports the bytes between as
 a quarantined gap. Records and gaps together cover each file exactly once.
 
@@ -37,6 +37,9 @@ _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.\d\r?\n")
 _CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 _END = re.compile(rb"\r?\n\r?\n")
+#: Fields that a header has once, or the end of one record was lost with the start of the next.
+_ONCE = {"warc-type", "warc-record-id", "warc-date", "content-length", "warc-target-uri", "warc-block-digest"}
+_NEEDED = {"warc-type", "warc-record-id", "content-length"}
 FIELDS = "kind string, path string, offset long, length long, reason string, record_type string, record_id string, target_uri string, content_type string, n_bytes long, md5 string"
 _NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
@@ -92,7 +95,12 @@ def parse_header(raw: bytes) -> dict[str, str]:
         name, colon, value = line.partition(":")
         if not colon:
             raise Damaged("header line")
-        out[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        if name in out and name in _ONCE:
+            raise Damaged("header of two records")
+        out[name] = value.strip()
+    if not out.keys() >= _NEEDED:
+        raise Damaged("header field missing")
     return out
 
 
@@ -247,9 +255,9 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, zip(*rows))], names)
 
 
-def record(uri: str, record_id: str, block: bytes, content_type: str = "text/html") -> bytes:
+def record(uri: str, record_id: str, block: bytes, content_type: str = "text/html", date: str = "1970-01-01T00:00:00Z") -> bytes:
     digest = base64.b32encode(hashlib.sha1(block, usedforsecurity=False).digest()).decode()
-    head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <{record_id}>\r\nWARC-Target-URI: {uri}\r\nContent-Type: {content_type}\r\nWARC-Block-Digest: sha1:{digest}\r\nContent-Length: {len(block)}\r\n\r\n"
+    head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <{record_id}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {uri}\r\nContent-Type: {content_type}\r\nWARC-Block-Digest: sha1:{digest}\r\nContent-Length: {len(block)}\r\n\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
 
