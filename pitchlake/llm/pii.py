@@ -231,7 +231,7 @@ def _hex(r: random.Random, n: int) -> str:
 
 def _mention(r: random.Random) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """A mention as (text, label) parts, and the parts that a later bare mention has."""
-    kind = r.choice(["email", "ip", "token", "token", "key", "card", "card", "card4", "phone", "phone", "phone2", "phone3", "ssn", "iban", "year", "version", "number", "date", "sha", "dotted", "order", "price", "code", "list"])
+    kind = r.choice(["email", "ip", "token", "token", "key", "card", "card", "cards", "card4", "phone", "phone", "phone2", "phone3", "ssn", "iban", "year", "version", "number", "date", "sha", "dotted", "order", "price", "code", "list"])
     s = lambda x: (x, "O")
     if kind == "email":
         m = [(f"{_word(r)}{r.choice(['.', '', '_', '-'])}{_digits(r, r.randint(0, 3))}@{_word(r)}{r.choice(['', _digits(r, 1)])}.{r.choice(['example.', ''])}{r.choice(['com', 'org', 'net', 'de', 'io'])}", "EMAIL")]
@@ -248,6 +248,11 @@ def _mention(r: random.Random) -> tuple[list[tuple[str, str]], list[tuple[str, s
     if kind == "card":
         m = [(_digits(r, r.choice([16, 16, 16, 15])), "B-CARD")]
         return r.choice([[], [], [], [s("card ")]]) + m, m
+    if kind == "cards":
+        m = [(_digits(r, 16), "B-CARD")]
+        for _ in range(r.randint(1, 4)):
+            m += [s(" "), (_digits(r, 16), "B-CARD") if r.random() < 0.7 else m[0]]
+        return m, m
     if kind == "card4":
         if r.random() < 0.4:
             m = [("-".join(_digits(r, 4) for _ in range(4)), "B-CARD")]
