@@ -85,21 +85,28 @@ def suppress(boxes: DataFrame, threshold: float, keys: tuple[str, ...] = ("image
     return held.select(*keys, F.inline(kept)).select(*keys, "det_idx", (-F.col("minus")).alias("confidence"), *BOX)
 
 
-def homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The 3 x 3 matrix that takes source points to target points, by the normalised direct linear transform."""
+def homographies(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The 3 x 3 matrices that take source points to target points (frames x points x 2), by the normalised direct linear transform."""
 
     def normal(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mid = points.mean(0)
-        s = np.sqrt(2) / max(np.sqrt(((points - mid) ** 2).sum(1)).mean(), 1e-12)
-        t = np.array([[s, 0, -s * mid[0]], [0, s, -s * mid[1]], [0, 0, 1]])
-        return (points - mid) * s, t
+        mid = points.mean(1, keepdims=True)
+        s = np.sqrt(2) / np.maximum(np.sqrt(((points - mid) ** 2).sum(2)).mean(1), 1e-12)
+        t = np.zeros((len(points), 3, 3))
+        t[:, 0, 0] = t[:, 1, 1] = s
+        t[:, :2, 2] = -s[:, None] * mid[:, 0]
+        t[:, 2, 2] = 1
+        return (points - mid) * s[:, None, None], t
 
     (a, ta), (b, tb) = normal(source), normal(target)
-    x, y, u, v = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
+    x, y, u, v = a[..., 0], a[..., 1], b[..., 0], b[..., 1]
     one, nil = np.ones_like(x), np.zeros_like(x)
-    rows = np.concatenate([np.stack([x, y, one, nil, nil, nil, -u * x, -u * y, -u], 1), np.stack([nil, nil, nil, x, y, one, -v * x, -v * y, -v], 1)])
-    m = np.linalg.inv(tb) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ ta
-    return m / m[2, 2]
+    rows = np.concatenate([np.stack([x, y, one, nil, nil, nil, -u * x, -u * y, -u], 2), np.stack([nil, nil, nil, x, y, one, -v * x, -v * y, -v], 2)], axis=1)
+    m = np.linalg.inv(tb) @ np.linalg.svd(rows)[2][:, -1].reshape(-1, 3, 3) @ ta
+    return m / m[:, 2:, 2:]
+
+
+def homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    return homographies(source[None], target[None])[0]
 
 
 def fit_homographies(points: DataFrame, least: int, key: str = "frame_idx") -> DataFrame:
@@ -110,8 +117,11 @@ def fit_homographies(points: DataFrame, least: int, key: str = "frame_idx") -> D
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            m = [homography(np.stack([xs, ys], 1), np.stack([us, vs], 1)).ravel() for xs, ys, us, vs in zip(b["x_all"], b["y_all"], b["cx_all"], b["cy_all"])]
-            yield pd.DataFrame({key: b[key], "matrix": m})
+            # Frames with equally many points are solved at once.
+            for _, same in b.groupby(b["x_all"].map(len)):
+                x, y, u, v = (np.stack(same[f"{c}_all"].to_list()) for c in ("x", "y", "cx", "cy"))
+                m = homographies(np.stack([x, y], 2), np.stack([u, v], 2))
+                yield pd.DataFrame({key: same[key], "matrix": list(m.reshape(-1, 9))})
 
     return held.mapInPandas(of, f"{key} {fields}, matrix array<double>")
 

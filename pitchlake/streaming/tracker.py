@@ -67,14 +67,17 @@ def track(detections: DataFrame, make: Callable[[], Tracker] = Tracker) -> DataF
 
     def of(video: pd.DataFrame) -> pd.DataFrame:
         video = video.sort_values(["frame_idx", "det_idx"], kind="stable")
-        tracker, rows = make(), []
-        for k, (_, frame) in enumerate(video.groupby("frame_idx", sort=True)):
-            boxes = frame[["x1", "y1", "x2", "y2"]].to_numpy(float)
-            if k == 0:
-                tracker.prompt(boxes)
-            for a, b in tracker.propagate(boxes):
-                rows.append(frame.iloc[b].to_dict() | {"tracker_id": a + 1})
-        return pd.DataFrame(rows, columns=["video_id", "frame_idx", "det_idx", "tracker_id", "x1", "y1", "x2", "y2"])
+        frame = video["frame_idx"].to_numpy()
+        boxes = video[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        cut = np.append(np.flatnonzero(np.append(True, frame[1:] != frame[:-1])), len(frame))
+        tracker, rows, ids = make(), [], []
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            if lo == 0:
+                tracker.prompt(boxes[lo:hi])
+            for a, b in tracker.propagate(boxes[lo:hi]):
+                rows.append(lo + b)
+                ids.append(a + 1)
+        return video.iloc[rows].assign(tracker_id=ids)[["video_id", "frame_idx", "det_idx", "tracker_id", "x1", "y1", "x2", "y2"]]
 
     boxes = detections.select("video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2")
     return boxes.groupBy("video_id").applyInPandas(of, OUTPUT)
