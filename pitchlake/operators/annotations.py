@@ -49,6 +49,23 @@ def predictions(boxes: DataFrame, s: Settings = DEFAULTS, jersey_class: int = 4,
     return spatial.outside_all(kept, zones)
 
 
+def build(boxes: DataFrame, new_category: int, profile: str = "filtered", s: Settings = DEFAULTS, jersey_class: int = 4) -> DataFrame:
+    """The merged dataset with its ids. ``basic`` takes every prediction above ``basic_confidence``, ``filtered`` those of ``predictions``."""
+    if profile == "filtered":
+        got = predictions(boxes, s, jersey_class)
+    elif profile == "basic":
+        got = filters.confident(filters.of_class(boxes, jersey_class), s.basic_confidence)
+    else:
+        raise ValueError(f"profile is basic or filtered, not {profile}")
+    truth = boxes.where(F.col("class_id") != jersey_class)
+    return with_ids(merged(truth, got.withColumn("category_id", F.lit(new_category))), ["image_id", "origin", "seq"], "id")
+
+
+def with_labels(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every image with the rows of its label file, by split and name without its ending; images without one stay."""
+    return images.withColumn("stem", X.stem(F.col("file_name"))).join(labels, ["split", "stem"], "left")
+
+
 def merged(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """Truth and predictions as annotations: (image_id, origin, seq, category_id, x, y, w, h, area, score).
 

@@ -32,3 +32,13 @@ def box_commands(boxes: DataFrame, palette: list[str], by: str = "class_id", tex
 def path_commands(runs: DataFrame, color: str) -> DataFrame:
     """A line command for each run of a path: (tracker_id, run_id, first, last, color, z)."""
     return runs.select("tracker_id", "run_id", "first", "last", F.lit(color).alias("color"), F.lit(KINDS["path"]).alias("z"))
+
+
+def vertex_commands(points: DataFrame, color: str) -> DataFrame:
+    """A dot for each keypoint or court position: (frame_idx, x, y, color, z)."""
+    return points.select("frame_idx", "x", "y", F.lit(color).alias("color"), F.lit(KINDS["vertex"]).alias("z"))
+
+
+def mask_commands(masks: DataFrame, palette: list[str], by: str = "tracker_id") -> DataFrame:
+    """A filled mask for each detection: (image_id, det_idx, mask, color, z)."""
+    return masks.select("image_id", "det_idx", "mask", palette_color(F.col(by), palette).alias("color"), F.lit(KINDS["mask"]).alias("z"))

@@ -57,3 +57,8 @@ def class_named(categories: DataFrame, part: str, default: int = -1) -> DataFram
     """One row: the lowest id of a category whose name holds ``part``, in any case, else the default."""
     found = F.when(F.contains(F.lower("name"), F.lit(part.lower())), F.col("id"))
     return categories.agg(F.coalesce(F.min(found), F.lit(default)).alias("id"))
+
+
+def without(class_ids: Column, *gone: int) -> Column:
+    """An array of classes without some of them."""
+    return F.array_except(class_ids, F.array(*[F.lit(g) for g in gone]))

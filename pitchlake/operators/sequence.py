@@ -140,3 +140,9 @@ def cleaned(path: DataFrame, s: Settings = DEFAULTS, coords: tuple[str, ...] = (
 def dense_index(rows: DataFrame, keys: tuple[str, ...] = TRACK, order: str = "frame_idx") -> DataFrame:
     """``t`` from 0 in the order of the frames that are there."""
     return rows.withColumn("t", F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1)
+
+
+def dense(path: DataFrame, coords: tuple[str, ...] = ("x", "y"), time: str = "t", track: str = "tracker_id") -> DataFrame:
+    """(time, points): one row for each moment, the coordinates of all tracks in the order of their ids."""
+    point = F.struct(F.col(track).alias("k"), F.array(*coords).alias("p"))
+    return path.groupBy(time).agg(F.array_sort(F.collect_list(point)).alias("_p")).select(time, F.transform("_p", lambda x: x["p"]).alias("points"))

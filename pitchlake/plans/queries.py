@@ -217,10 +217,31 @@ def sequential_ids(spark, d):
 
 @query
 def merged_annotations(spark, d):
-    det = V.detections(spark, d)
-    predicted = A.predictions(det).withColumn("category_id", F.lit(JERSEY_CATEGORY))
-    got = A.merged(det.where("class_id <> 4"), predicted)
-    return A.with_ids(got, ["image_id", "origin", "seq"], "id")
+    return A.build(V.detections(spark, d), JERSEY_CATEGORY)
+
+
+@query
+def basic_annotations(spark, d):
+    return A.build(V.detections(spark, d), JERSEY_CATEGORY, "basic")
+
+
+@query
+def score_labels(spark, d):
+    det = V.detections(spark, d).withColumnRenamed("class_id", "category_id")
+    return A.named(det, V.categories(spark)).select("image_id", "det_idx", X.score_label(F.col("name"), F.col("confidence")).alias("label"))
+
+
+@query
+def class_difference(spark, d):
+    ids = F.array(*[F.lit(c) for c in DEFAULTS.player_classes])
+    part = V.table(spark, d, "part").select(F.col("p_partkey").alias("part"))
+    return part.select("part", F.array_join(filters.without(ids, 1).cast("array<string>"), ",").alias("classes"))
+
+
+@query
+def dense_positions(spark, d):
+    got = sequence.dense(sequence.dense_index(V.paths(spark, d)), ONE)
+    return got.select("t", F.array_join(F.transform("points", lambda p: G.rounded(p[0]).cast("decimal(12,4)").cast("string")), ",").alias("points"))
 
 
 @query
@@ -386,9 +407,7 @@ def voc_xml(spark, d):
 
 @query
 def coco_json(spark, d):
-    det = V.detections(spark, d)
-    predicted = A.predictions(det).withColumn("category_id", F.lit(JERSEY_CATEGORY))
-    got = A.with_ids(A.merged(det.where("class_id <> 4"), predicted), ["image_id", "origin", "seq"], "id")
+    got = A.build(V.detections(spark, d), JERSEY_CATEGORY)
     annotations = got.select("id", "image_id", "category_id", F.array("x", "y", "w", "h").alias("bbox"), "area", F.array().cast("array<array<double>>").alias("segmentation"), F.lit(0).alias("iscrowd"), "score")
     images = V.images(spark, d).select("id", "file_name", "width", "height", F.lit(None).cast("int").alias("license"), F.lit(None).cast("string").alias("date_captured"))
     return files.coco_document(images, annotations, A.with_new_category(V.categories(spark), "jersey number"), {"description": "merged annotations", "date_created": "2025-11-21"})
@@ -422,6 +441,17 @@ def _identity(spark, d, mode):
     return identity.identify(players, numbers, team_of, V.rosters(spark, d), replace(DEFAULTS, match_overlap=0.5), mode)
 
 
+@query
+def court_paths(spark, d):
+    """Players' positions on the court, a path for each track of a video, cleaned in both dimensions."""
+    matrices = spatial.fit_homographies(_seen(spark, d), DEFAULTS.least_keypoints)
+    x, y = G.bottom_center(*G.box())
+    players = filters.numbered(filters.of_classes(_frames(spark, d), DEFAULTS.player_classes))
+    at = players.select("video_id", F.col("frame_idx").alias("frame"), "tracker_id", F.col("image_id").alias("frame_idx"), x.alias("x"), y.alias("y"))
+    court = spatial.to_court(at, matrices).select("video_id", "tracker_id", "frame", F.col("court_x").alias("x"), F.col("court_y").alias("y"))
+    return sequence.cleaned(court, keys=("video_id", "tracker_id"), order="frame")
+
+
 @query
 def player_identity(spark, d):
     return _identity(spark, d, "final")

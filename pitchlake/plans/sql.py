@@ -226,6 +226,10 @@ from (select p.image_id, p.det_idx as p_idx, n.det_idx as n_idx, {_ios('p', 'n')
     "split_first_match": _with(IMAGES) + "select 'img_' || cast(id % 1000 as varchar) || '.jpg' as file_name, min_by(split, case split when 'train' then 1 when 'valid' then 2 else 3 end) as split from images group by all",
     "sequential_ids": _with(IMAGES) + "select id as source_id, row_number() over (order by case split when 'train' then 1 when 'valid' then 2 else 3 end, file_name) - 1 as id from images",
     "merged_annotations": _with(DET, _JERSEY, _nms("jersey", 0.25), PREDICTED, _MERGED, recursive=True) + f"select {_TRUTH_IDS} as id, m.image_id, m.origin, m.seq, m.category_id, m.x, m.y, m.w, m.h, m.w * m.h as area, m.score from merged m",
+    "basic_annotations": _with(DET, "predicted as (select * from det where class_id = 4 and confidence > 0.3)", _MERGED) + f"select {_TRUTH_IDS} as id, m.image_id, m.origin, m.seq, m.category_id, m.x, m.y, m.w, m.h, m.w * m.h as area, m.score from merged m",
+    "score_labels": _with(DET, CATEGORIES) + "select image_id, det_idx, format('{} {:.2f}', name, confidence) as label from det join categories c on c.id = det.class_id",
+    "class_difference": "select p_partkey as part, '2' as classes from part",
+    "dense_positions": _with(PATHS) + f"select t, string_agg(cast(cast({_r('x')} as decimal(12,4)) as varchar), ',' order by tracker_id) as points from (select *, frame_idx - 1 as t from path) group by t",
     "new_category": _with(CATEGORIES) + "select id, name from categories union all select cast(count(*) as int), 'jersey number' from categories",
     "referee_id": "select 3 as referee, -1 as absent",
     "dataset_summary": _with(DET, IMAGES) + "select split, count(distinct i.id) as images, count(d.det_idx) as annotations, count(*) filter (where d.class_id = 4) as numbers, count(*) filter (where d.det_idx is null) as unlabelled from images i left join det d on d.image_id = i.id group by split",

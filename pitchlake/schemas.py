@@ -39,6 +39,7 @@ class Settings:
     least_keypoints: int = 4
     scoreboard_confidence: float = 0.5
     jersey_confidence: float = 0.4
+    basic_confidence: float = 0.3
     suppression_overlap: float = 0.25
     jump_sigma: float = 3.5
     least_jump: float = 0.6
