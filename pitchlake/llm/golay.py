@@ -37,6 +37,8 @@ NEAREST = 2
 MAX_BITS = 47
 _WORDS = -(-SEGMENTS * BITS // 64)
 SLOTS = 1 << 12
+#: Keys that one task sorts in memory, about.
+PARTITION_ROWS = 4_000_000
 
 
 @lru_cache(1)
@@ -218,7 +220,10 @@ def duplicates(docs: DataFrame) -> DataFrame:
     prints = cut(prints.where("print is not null").groupBy("id").agg(F.min(F.struct("print", "total")).alias("p")).select("id", "p.*"))
     # Equal fingerprints are joined by their value; only one of each goes on to the keys.
     tops = cut(prints.groupBy("print").agg(F.min(F.struct("id", "total")).alias("m")).select("print", "m.*"))
-    keyed = tops.select("id", "total").mapInArrow(_keys, "key long, id long").repartition("key")
+    # A task holds the keys of its partition, so their number follows the rows where the session's is too low.
+    rows = tops.count() * len(list(combinations(range(KEYED), CHOSEN))) * NEAREST**CHOSEN
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
+    keyed = tops.select("id", "total").mapInArrow(_keys, "key long, id long").repartition(parts, "key")
     shared = keyed.mapInArrow(_shared, "key long, id long")
     buckets = shared.join(tops.select("id", "print"), "id").select("key", "id", "print")
     pairs = cut(buckets.repartition("key").sortWithinPartitions("key").mapInArrow(_verified, "a long, b long").distinct())
