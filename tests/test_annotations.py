@@ -62,6 +62,10 @@ def test_coco_round_trip(spark, tmp_path):
     back = files.read_coco(spark, str(tmp_path / "coco"))
     assert {r["id"]: r["score"] for r in back["annotations"].collect()} == {0: None, 1: 0.5}
     assert back["categories"].count() == 5
+    files.write_coco_lines(images, annotations, V.categories(spark), str(tmp_path / "lines"))
+    lines = files.read_coco_lines(spark, str(tmp_path / "lines"))
+    assert {r["id"]: r["score"] for r in lines["annotations"].collect()} == {0: None, 1: 0.5}
+    assert "license" in next((tmp_path / "lines" / "images").glob("*.json")).read_text()
 
 
 def test_voc_escapes_and_keeps_empty_images(spark, tmp_path):
