@@ -39,7 +39,7 @@ BROADCAST = 6_000_000
 _BLOCK_TAGS = "p br div li ul ol tr td th table h1 h2 h3 h4 h5 h6 article section header footer nav aside main blockquote pre dl dt dd form hr figure body html".split()
 _HELD = 4 << 20
 
-_DROPPED = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_DROPPED = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(noscript|template|svg)\b.*?</\2\s*>|<head\b.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
 _NAME = B._table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-")
 _OPENS = B._table(b"/!?abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 

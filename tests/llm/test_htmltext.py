@@ -11,7 +11,7 @@ from pitchlake.llm import bytesops as B
 from pitchlake.llm import htmltext as H
 
 DDL = "page_id bigint, url string, html string"
-DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(noscript|template|svg)\b.*?</\2\s*>|<head\b.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
 
 
 def plain_tokens(page):
@@ -69,7 +69,7 @@ def test_equals_brute_force(spark, seed, broadcast):
 
 
 def test_tokens_of_odd_markup():
-    pages = ["", "x", "<p>a<b>c</b", "a < b <", "<a href='>'>t", "<!-- never ends", "<p <i>x</i>", "1<2 <P>é</P>"]
+    pages = ["", "x", "<p>a<b>c</b", "a < b <", "<a href='>'>t", "<!-- never ends", "<p <i>x</i>", "1<2 <P>é</P>", "<head><title>x</title><body>y", "<head>z", "<svg>open"]
     t = H.tokens(B.strings(pa.array(pages)))
     got = [[] for _ in pages]
     for s, e, p, tag in zip(t.start, t.end, t.page, t.tag):
