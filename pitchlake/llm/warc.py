@@ -297,7 +297,11 @@ def write(pages: DataFrame, folder: str, damage: bool = False, file_bytes: int =
         def close() -> None:
             nonlocal number, size, n, out
             out.close()
-            fs.move(part, f"{root}/{name}")
+            try:
+                fs.move(part, f"{root}/{name}")
+            except OSError:  # some file systems don't replace what an earlier attempt left
+                fs.delete_file(f"{root}/{name}")
+                fs.move(part, f"{root}/{name}")
             done.append((f"{folder.rstrip('/')}/{name}", n))
             number, size, n, out = number + 1, 0, 0, None
 
