@@ -11,6 +11,9 @@ merged by ranges of the fingerprint. Only suffixes that can be shared are sent.
 ``GRAM``-token grams of a suffix's first ``LEAST`` tokens the one with the least hash is its anchor, equal suffixes have equal
 anchors, and few places are anchors. Anchors are merged first, and suffixes whose anchor is on one
 page only are left at home (Schleimer, Wilkerson and Aiken, 2003).
+
+Pages aren't moved: each of the three passes reads them from their source. After a merge, every task is told which of the
+fingerprints that it sent are shared, by a file of its own in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,11 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import cut, q
+from .shared import cut, q, shared_folder
 
 #: Tokens of a shared substring, at least.
 LEAST = 16
@@ -34,8 +40,6 @@ GRAM = 6
 #: Distinct pages of the host that it is on, at least.
 PAGES = 2
 
-#: Shared fingerprints are sent to every task up to this many (8 bytes each); beyond, they are joined to the pages.
-BROADCAST = 6_000_000
 _BLOCK_TAGS = "p br div li ul ol tr td th table h1 h2 h3 h4 h5 h6 article section header footer nav aside main blockquote pre dl dt dd form hr figure body html".split()
 _HELD = 4 << 20
 
@@ -220,60 +224,77 @@ def _salts(batch: pa.RecordBatch, t: Tokens) -> np.ndarray:
     return batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)[t.page]
 
 
-def _known(batch: pa.RecordBatch, known: np.ndarray | None) -> np.ndarray:
-    """The shared fingerprints: those of the whole corpus, or those that were joined to the pages of the batch."""
-    return known if known is not None else np.unique(batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+def _markers(batch: pa.RecordBatch) -> np.ndarray:
+    """A number for each page that no fingerprint has (but by chance)."""
+    return B.mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(0xA24BAED4963EE407))
+
 
+def _merge(pages: DataFrame, find: Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, np.ndarray]], told: str | None, least_pages: int, name: str) -> str:
+    """The folder that tells each task which of its fingerprints are on enough distinct pages.
 
-def _shared(pages: DataFrame, find: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], least_pages: int) -> DataFrame:
-    """(f): the fingerprints that ``find`` gives, as (fingerprint, page of the batch), on enough distinct pages."""
+    ``find`` gives the fingerprints of a batch as (fingerprint, page of the batch), knowing what the folder ``told`` says. The
+    pages' own markers are told, too, so that a task can see that it has the same pages again.
+    """
+    folder = shared_folder(pages.sparkSession, name)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = TaskContext.get().partitionId()
+        news = News(told, unit)
         prints: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         held = before = 0
+
+        def rows(f: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(f), 1 << 16):
+                k = len(f[lo : lo + (1 << 16)])
+                yield pa.record_batch([pa.array(f[lo : lo + k].view(np.int64)), pa.array(n[lo : lo + k].astype(np.int32)), pa.array(np.full(k, unit, np.int32))], ["f", "n", "unit"])
+
         for batch in batches:
             for part in B.slices(batch, "html"):
-                f, p = find(part)
+                f, p = find(part, news.of(part))
                 prints.append(f)
                 owners.append((p + before).astype(np.int32))
                 before += part.num_rows
                 held += len(f)
+                yield from rows(_markers(part), np.full(part.num_rows, least_pages))
                 if held > _HELD:
-                    yield from _counts(prints, owners)
+                    yield from rows(*counted(prints, owners))
                     prints, owners, held, before = [], [], 0, 0
         if held:
-            yield from _counts(prints, owners)
-
-    got = pages.mapInArrow(of, "f long, n int").groupBy("f").agg(F.sum("n").alias("n"))
-    return cut(got.where(F.col("n") >= least_pages).select("f"))
+            yield from rows(*counted(prints, owners))
 
+    sent = pages.mapInArrow(of, "f long, n int, unit int")
+    total = F.sum("n").over(Window.partitionBy("f"))
+    shared = sent.withColumn("total", total).where(F.col("total") >= least_pages).select("unit", "f")
+    shared.repartition(F.col("unit")).write.partitionBy("unit").parquet(folder)
+    return folder
 
-def _counts(prints: list[np.ndarray], owners: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    f, n = counted(prints, owners)
-    for lo in range(0, len(f), 1 << 16):
-        yield pa.record_batch([pa.array(f[lo : lo + (1 << 16)].view(np.int64)), pa.array(n[lo : lo + (1 << 16)].astype(np.int32))], ["f", "n"])
 
+class News:
+    """What a task was told about its fingerprints, read when it is first asked for."""
 
-def _attached(pages: DataFrame, shared: DataFrame, find: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], most: int) -> tuple[DataFrame, np.ndarray | None]:
-    """The shared fingerprints in one sorted array if they are few enough, else joined to the pages that they are on."""
-    if shared.count() <= most:
-        return pages, np.sort(shared.toArrow()["f"].to_numpy().view(np.uint64))
+    def __init__(self, folder: str | None, unit: int):
+        self.folder, self.unit = folder, unit
+        self.known = np.zeros(0, np.uint64)
+        self.read = folder is None
 
-    def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in B.slices(batch, "html"):
-                f, p = find(part)
-                order = np.lexsort((f, p))
-                f, p = f[order], p[order]
-                new = np.append(True, (f[1:] != f[:-1]) | (p[1:] != p[:-1]))[: len(f)]
-                yield pa.record_batch([part.column(0).take(pa.array(p[new])), pa.array(f[new].view(np.int64))], ["page", "f"])
+    def _load(self, path: str) -> np.ndarray:
+        fs, root = pafs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (pafs.LocalFileSystem(), self.folder)
+        found = fs.get_file_info(pafs.FileSelector(f"{root}/{path}", recursive=True, allow_not_found=True))
+        files = [f.path for f in found if f.is_file and f.path.endswith(".parquet")]
+        got = [pq.ParquetFile(fs.open_input_file(f)).read(["f"])["f"].to_numpy().view(np.uint64) for f in files]
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *got]))
 
-    where = pages.mapInArrow(on, "page string, f long").join(shared, "f").groupBy("page").agg(F.collect_list("f").alias("known"))
-    return pages.select("page", "salt", "html").join(where, "page", "left").select("page", "salt", "html", F.coalesce("known", F.array().cast("array<bigint>")).alias("known")), None
+    def of(self, batch: pa.RecordBatch) -> np.ndarray:
+        if not self.read:
+            self.known, self.read = self._load(f"unit={self.unit}"), True
+        if self.folder is not None and not within(_markers(batch), self.known).all():
+            # The source gave this task other pages than before: what all were told holds for any page.
+            self.known = self._load("")
+        return self.known
 
 
-def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages: int = PAGES, broadcast: int = BROADCAST) -> DataFrame:
+def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages: int = PAGES) -> DataFrame:
     """(page_id, host, text, n_runs, n_kept, n_words) of each page.
 
     ``text`` is what is left of the page's words without substrings of at least ``least`` tokens that are on
@@ -289,45 +310,36 @@ def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages:
     own = pages.select(q("page_id").cast("long").alias("page_id"), q("url").cast("string").alias("url"), q("html").cast("string").alias("html"))
     if not own.where("page_id is not null").groupBy("page_id").count().where("count > 1").isEmpty():
         one = own.where("page_id is not null").groupBy("page_id").agg(F.min(F.struct("url", "html")).alias("p")).select("page_id", "p.*")
-        own = one.unionByName(own.where("page_id is null"))
+        own = cut(one.unionByName(own.where("page_id is null")))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    # The key tells pages with a null id apart, by what they hold; those that hold the same are one page here.
-    key = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("null-"), F.sha2(F.concat_ws("|", "url", "html"), 256)))
-    base = own.select(key.alias("page"), F.xxhash64(host).alias("salt"), F.coalesce("html", F.lit("")).alias("html"))
-    if not own.where("page_id is null").isEmpty():
-        base = base.dropDuplicates(["page"])
+    base = own.select(F.xxhash64("page_id", "url").alias("marker"), F.xxhash64(host).alias("salt"), F.coalesce("html", F.lit("")).alias("html"), "page_id", host.alias("host"))
+    slim = base.select("marker", "salt", "html")
 
-    def gram_anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def gram_anchors(batch: pa.RecordBatch, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         t = tokens(B.strings(batch.column(2)))
         salt = _salts(batch, t)
         g, a = anchored(t, salt, least, gram)
         there = np.unique(a[suffixes(t, salt, least)[0]])
         return g[there], t.page[there]
 
-    def suffix_prints(batch: pa.RecordBatch, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(batch: pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         t = tokens(B.strings(batch.column(2)))
         salt = _salts(batch, t)
         g, a = anchored(t, salt, least, gram)
         at, f = suffixes(t, salt, least)
-        can = within(g[a[at]], _known(batch, known))
+        can = within(g[a[at]], known)
         return f[can], t.page[at[can]]
 
-    first, known_anchors = _attached(base, _shared(base, gram_anchors, least_pages), gram_anchors, broadcast)
-    candidates = lambda batch: suffix_prints(batch, known_anchors)
-    prints = _shared(first, candidates, least_pages)
-    second, known = _attached(first, prints, candidates, broadcast)
-    hosts = own.select(key.alias("page"), "page_id", host.alias("host"), F.xxhash64(host).alias("salt"), F.coalesce("html", F.lit("")).alias("html"))
-    if known is None:
-        hosts = hosts.join(second.select("page", "known"), "page", "left").withColumn("known", F.coalesce("known", F.array().cast("array<bigint>")))
-    columns = ["page", "salt", "html"] + (["known"] if known is None else []) + ["page_id", "host"]
+    told = _merge(slim, candidates, _merge(slim, gram_anchors, None, least_pages, "anchors"), least_pages, "suffixes")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        news = News(told, TaskContext.get().partitionId())
         for batch in batches:
             for part in B.slices(batch, "html"):
                 t = tokens(B.strings(part.column(2)))
                 at, f = suffixes(t, _salts(part, t), least)
-                text, runs, left, total = kept_text(t, covered(t, at[within(f, _known(part, known))], least), part.num_rows)
+                text, runs, left, total = kept_text(t, covered(t, at[within(f, news.of(part))], least), part.num_rows)
                 ints = [pa.array(v.astype(np.int32)) for v in (runs, left, total)]
                 yield pa.record_batch([part.column("page_id"), part.column("host"), pa.array(text, pa.string()), *ints], ["page_id", "host", "text", "n_runs", "n_kept", "n_words"])
 
-    return hosts.select(columns).mapInArrow(of, "page_id long, host string, text string, n_runs int, n_kept int, n_words int")
+    return base.mapInArrow(of, "page_id long, host string, text string, n_runs int, n_kept int, n_words int")

@@ -57,12 +57,13 @@ def made_pages(seed, n=40):
     return pages
 
 
-@pytest.mark.parametrize("broadcast", [H.BROADCAST, -1])
+@pytest.mark.parametrize("parts", [1, 5])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed, broadcast):
+def test_equals_brute_force(spark, seed, parts):
     pages = made_pages(seed)
     for least, gram, many in ((8, 4, 2), (16, 6, 3)):
-        got = {r["page_id"]: r for r in H.extract(spark.createDataFrame(pages, DDL), least, gram, many, broadcast).collect()}
+        df = spark.createDataFrame(pages, DDL).coalesce(1) if parts == 1 else spark.createDataFrame(pages, DDL).repartition(parts)
+        got = {r["page_id"]: r for r in H.extract(df, least, gram, many).collect()}
         want = brute_force([(p, u[7].lower(), x) for p, u, x in pages], least, many)
         assert {p: r["text"].split() for p, r in got.items()} == {p: " ".join(w).split() for p, w in want.items()}
         assert all(r["n_kept"] <= r["n_words"] and r["host"] in ("a.org", "b.org", "c.org") for r in got.values())
@@ -92,3 +93,14 @@ def test_a_repeat_on_one_page_stays(spark):
     twice = " ".join(f"m{k}" for k in range(20)) + " and " + " ".join(f"m{k}" for k in range(20))
     df = spark.createDataFrame([(1, "http://h/", twice), (2, "http://h/", "other words")], DDL)
     assert {r["page_id"]: r["n_kept"] for r in H.extract(df).collect()} == {1: 41, 2: 2}
+
+
+def test_other_pages_in_a_task_than_before(spark, tmp_path):
+    """A task that isn't told of its pages reads what all tasks were told."""
+    batch = pa.record_batch([pa.array([5]), pa.array([0]), pa.array(["x"])], ["marker", "salt", "html"])
+    spark.createDataFrame([(0, 11), (3, 12), (3, 13)], "unit int, f long").write.partitionBy("unit").parquet(str(tmp_path / "told"))
+    assert list(H.News(str(tmp_path / "told"), 3).of(batch)) == [11, 12, 13]
+    own = int(H._markers(batch).view("int64")[0])
+    spark.createDataFrame([(3, own)], "unit int, f long").write.mode("append").partitionBy("unit").parquet(str(tmp_path / "told"))
+    assert sorted(H.News(str(tmp_path / "told"), 3).of(batch).view("int64")) == sorted([12, 13, own])
+    assert len(H.News(None, 3).of(batch)) == 0
