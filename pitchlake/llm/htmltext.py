@@ -5,6 +5,10 @@ the other; its suffixes are sorted to a depth of ``LEAST`` tokens, each page's o
 equal that far and come from different pages are substrings that these pages share. All tokens covered by such a
 substring are boilerplate; the runs between are kept.
 
+Template blocks that are shorter than that, as most footers are, stand between unique text and the end of a page, so that
+no substring of ``LEAST`` tokens covers them. They are judged whole: what stands between two block tags with ``FEW``
+words at least, and a footer, header, navigation or aside with any words, is boilerplate, too, if it is on other pages of the host.
+
 The suffix array is a distributed one. Suffixes go by the 64-bit fingerprint of their first ``LEAST`` tokens with their
 host, which is all that a depth of ``LEAST`` needs; each task sorts those of its own pages, and the sorted runs are
 merged by ranges of the fingerprint. Only suffixes that can be shared are sent. Winnowing sees to that: of the
@@ -39,6 +43,10 @@ LEAST = 16
 GRAM = 6
 #: Distinct pages of the host that it is on, at least.
 PAGES = 2
+#: Words of a shared block of fewer tokens than ``LEAST``, at least. Shorter paragraphs are alike by chance; elements of the frame count at any size.
+FEW = 4
+
+_FRAME = "footer header nav aside".split()
 
 _BLOCK_TAGS = "p br div li ul ol tr td th table h1 h2 h3 h4 h5 h6 article section header footer nav aside main blockquote pre dl dt dd form hr figure body html".split()
 _HELD = 4 << 20
@@ -113,6 +121,14 @@ def grams(hashes: np.ndarray, size: int, salt: np.ndarray | None = None) -> np.n
     n = len(hashes)
     if n < size:
         return np.zeros(0, np.uint64)
+    sums, down = _sums(hashes)
+    got = (sums[size:] - sums[:-size]) * down[: n - size + 1]
+    return B.mix(got if salt is None else got ^ salt[: n - size + 1])
+
+
+def _sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the hashes by powers, and the inverse powers."""
+    n = len(hashes)
     up = np.full(n + 1, _P)
     down = np.full(n + 1, _PINV)
     up[0] = down[0] = 1
@@ -120,8 +136,7 @@ def grams(hashes: np.ndarray, size: int, salt: np.ndarray | None = None) -> np.n
     np.multiply.accumulate(down, out=down)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * up[:n], out=sums[1:])
-    got = (sums[size:] - sums[:-size]) * down[: n - size + 1]
-    return B.mix(got if salt is None else got ^ salt[: n - size + 1])
+    return sums, down
 
 
 def anchors(gram: np.ndarray, window: int) -> np.ndarray:
@@ -139,11 +154,12 @@ def anchors(gram: np.ndarray, window: int) -> np.ndarray:
     return best
 
 
-def _breaks() -> np.ndarray:
-    raw = np.frombuffer(b"".join(f"<{t}</{t}".encode() for t in _BLOCK_TAGS), np.uint8)
-    size = np.array([len(t) + k for t in _BLOCK_TAGS for k in (1, 2)])
+def _of_tags(names: list[str]) -> np.ndarray:
+    """Hashes of the opening and the closing tag of each name, in turn."""
+    raw = np.frombuffer(b"".join(f"<{t}</{t}".encode() for t in names), np.uint8)
+    size = np.array([len(t) + k for t in names for k in (1, 2)])
     end = np.cumsum(size)
-    return np.sort(B.hashes(raw, end - size, end))
+    return B.hashes(raw, end - size, end)
 
 
 def within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -168,6 +184,36 @@ def anchored(t: Tokens, salt: np.ndarray, least: int, gram: int) -> tuple[np.nda
     return g, anchors(g, least - gram + 1)
 
 
+def blocks(t: Tokens, salt: np.ndarray, least: int, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First token, number of tokens and fingerprint of each block of fewer than ``least`` tokens.
+
+    A block is a block tag with the tokens up to the next one, of ``few`` words at least, or an element of the frame up to its
+    closing tag, of any. It ends with its page. Without ``few`` there are none.
+    """
+    n = len(t.hash)
+    if not n or few is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    words = np.concatenate([[0], np.cumsum(~t.tag)])
+    fresh = np.append(True, t.page[1:] != t.page[:-1])
+    first = np.flatnonzero(fresh | (t.tag & within(t.hash, _BREAKS)))
+    end = np.append(first[1:], n)
+    enough = words[end] - words[first] >= few
+    firsts, ends = [first[enough]], [end[enough]]
+    page_end = np.append(np.flatnonzero(fresh)[1:], n)
+    for opening, closing in _FRAMES:
+        first = np.flatnonzero(t.tag & (t.hash == opening))
+        close = np.append(np.flatnonzero(t.tag & (t.hash == closing)), n)
+        end = np.minimum(close[np.searchsorted(close, first)], page_end[np.searchsorted(page_end, first, "right")])
+        enough = words[end] > words[first]
+        firsts.append(first[enough])
+        ends.append(end[enough])
+    first, end = np.concatenate(firsts), np.concatenate(ends)
+    short = end - first < least
+    first, end = first[short], end[short]
+    sums, down = _sums(t.hash)
+    return first, end - first, B.mix(((sums[end] - sums[first]) * down[first]) ^ salt[first] ^ _BLOCK)
+
+
 def counted(prints: list[np.ndarray], pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct fingerprints, in order, and on how many distinct pages each is."""
     f, p = np.concatenate(prints), np.concatenate(pages)
@@ -179,8 +225,8 @@ def counted(prints: list[np.ndarray], pages: list[np.ndarray]) -> tuple[np.ndarr
     return f[at], np.add.reduceat(fresh.astype(np.int64), at)
 
 
-def covered(t: Tokens, starts: np.ndarray, least: int) -> np.ndarray:
-    """Tokens within ``least`` tokens from one of the starts on."""
+def covered(t: Tokens, starts: np.ndarray, least: int | np.ndarray) -> np.ndarray:
+    """Tokens within ``least`` tokens (for each start, or for all) from one of the starts on."""
     depth = np.zeros(len(t.hash) + 1, np.int64)
     np.add.at(depth, starts, 1)
     np.add.at(depth, starts + least, -1)
@@ -217,7 +263,10 @@ def kept_text(t: Tokens, boiler: np.ndarray, n: int) -> tuple[list[str], np.ndar
     return [html.unescape(x) if "&" in x else x for x in texts], runs, left, total
 
 
-_BREAKS = _breaks()
+_BREAKS = np.sort(_of_tags(_BLOCK_TAGS))
+_FRAMES = _of_tags(_FRAME).reshape(-1, 2)
+#: Tells the fingerprints of blocks from those of suffixes.
+_BLOCK = np.uint64(0x9FB21C651E98DF25)
 
 
 def _salts(batch: pa.RecordBatch, t: Tokens) -> np.ndarray:
@@ -294,14 +343,15 @@ class News:
         return self.known
 
 
-def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages: int = PAGES) -> DataFrame:
+def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages: int = PAGES, few: int | None = None) -> DataFrame:
     """(page_id, host, text, n_runs, n_kept, n_words) of each page.
 
     ``text`` is what is left of the page's words without substrings of at least ``least`` tokens that are on
-    ``least_pages`` distinct pages of its host; ``n_runs`` is in how many pieces, ``n_kept`` and ``n_words`` count words left and
+    ``least_pages`` distinct pages of its host and, if ``few`` is given, without shorter blocks (of ``few`` words, or elements of the frame) that are; ``n_runs`` is in how many pieces, ``n_kept`` and ``n_words`` count words left and
     words there were. A host is the url's, in lower case; pages without one (a null url, too) share the empty host.
 
-    A null or empty html has no words: an empty text. A page of fewer than ``least`` tokens is kept whole. Rows that
+    A null or empty html has no words: an empty text. A page of fewer than ``least`` tokens loses
+    nothing but shared blocks. Rows that
     repeat a page_id are one page (that of the least url and html) and give one row; rows with a null page_id
     are pages of their own. A substring that is repeated on one page only is kept. Pages are read whole, however
     long. An empty table gives no rows; other columns aren't looked at. Different substrings are taken for
@@ -328,7 +378,8 @@ def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages:
         g, a = anchored(t, salt, least, gram)
         at, f = suffixes(t, salt, least)
         can = within(g[a[at]], known)
-        return f[can], t.page[at[can]]
+        first, _, b = blocks(t, salt, least, few)
+        return np.concatenate([f[can], b]), t.page[np.concatenate([at[can], first])]
 
     told = _merge(slim, candidates, _merge(slim, gram_anchors, None, least_pages, "anchors"), least_pages, "suffixes")
 
@@ -337,8 +388,13 @@ def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages:
         for batch in batches:
             for part in B.slices(batch, "html"):
                 t = tokens(B.strings(part.column(2)))
-                at, f = suffixes(t, _salts(part, t), least)
-                text, runs, left, total = kept_text(t, covered(t, at[within(f, news.of(part))], least), part.num_rows)
+                salt = _salts(part, t)
+                at, f = suffixes(t, salt, least)
+                first, size, b = blocks(t, salt, least, few)
+                known = news.of(part)
+                at, shared = at[within(f, known)], within(b, known)
+                boiler = covered(t, np.concatenate([at, first[shared]]), np.concatenate([np.full(len(at), least), size[shared]]))
+                text, runs, left, total = kept_text(t, boiler, part.num_rows)
                 ints = [pa.array(v.astype(np.int32)) for v in (runs, left, total)]
                 yield pa.record_batch([part.column("page_id"), part.column("host"), pa.array(text, pa.string()), *ints], ["page_id", "host", "text", "n_runs", "n_kept", "n_words"])
 

@@ -47,7 +47,7 @@ def op9_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmltext.extract(table(spark, sf_dir, "pages"))
+    return htmltext.extract(table(spark, sf_dir, "pages"), few=htmltext.FEW)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

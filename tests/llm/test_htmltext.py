@@ -9,6 +9,7 @@ import pytest
 
 from pitchlake.llm import bytesops as B
 from pitchlake.llm import htmltext as H
+from pitchlake.llm import queries as Q
 
 DDL = "page_id bigint, url string, html string"
 DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(noscript|template|svg)\b.*?</\2\s*>|<head\b.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
@@ -104,3 +105,29 @@ def test_other_pages_in_a_task_than_before(spark, tmp_path):
     spark.createDataFrame([(3, own)], "unit int, f long").write.mode("append").partitionBy("unit").parquet(str(tmp_path / "told"))
     assert sorted(H.News(str(tmp_path / "told"), 3).of(batch).view("int64")) == sorted([12, 13, own])
     assert len(H.News(None, 3).of(batch)) == 0
+
+
+def test_short_blocks_of_the_template_go(spark):
+    own = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(4)]
+    page = "<body><nav><ul><li><a>Home</a></li></ul></nav><p>{}</p><p>Of.</p><div>one two three four</div><p>{}</p><footer>&copy; h</footer>"
+    rows = [(k, "http://h/", page.format(own[k], f"last {k}") + end) for k, end in enumerate(["</body></html>", "", "<p>more</p>"])]
+    rows += [(3, "http://other/", page.format(own[3], "last 3") + "</body></html>"), (4, "http://h/", "<footer>&copy; h"), (5, "http://h/", "<p>&copy; h</p>")]
+    got = {r["page_id"]: r["text"].split() for r in H.extract(spark.createDataFrame(rows, DDL), few=H.FEW).collect()}
+    # A short paragraph that is alike stays; so does a block that is on no other page of its host.
+    want = {k: [*own[k].split(), "Of.", "last", str(k)] for k in range(3)}
+    want[2].append("more")
+    want |= {3: ["Home", *own[3].split(), *"Of. one two three four last 3 © h".split()], 4: [], 5: ["©", "h"]}
+    assert got == want
+
+
+def test_every_footer_that_a_host_repeats_goes(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    feet = {}
+    for r in pages.collect():
+        if m := re.search(r"<footer>(.*?)</footer>", r["html"] or "", re.S):
+            host = re.match(r"https?://([^/:?#]+)", r["url"])[1].lower()
+            feet.setdefault((host, m[1]), []).append(r["page_id"])
+    last = {p: html.unescape(f).split() for (_, f), ps in feet.items() if len(ps) > 1 for p in ps}
+    left = {r["page_id"]: " ".join(r["text"].split()) for r in Q.op10_html(spark, "/root/testdata/sf0.1").collect()}
+    assert len(last) > 1000
+    assert not [p for p, f in last.items() if " ".join(f[:2]) in left[p]]  # each begins with the sign of copyright and its host
