@@ -63,6 +63,39 @@ def test_messages_are_close_with_loops():
     assert same >= 25
 
 
+@pytest.mark.parametrize("n,pull", [(38, 0.1), (201, 0.1), (3000, 0.01)])
+def test_a_clear_mention_settles_all_bare_ones(n, pull):
+    """A chain is a tree, so the messages are exact: to relabel all costs pull for each, and not to costs 50 at once."""
+    unary = np.zeros((n, 2))
+    unary[1:, 0] = pull
+    unary[0, 1] = 50
+    chain = np.array([(k, k + 1, P.SAME) for k in range(n - 1)])
+    old, P.K = P.K, 2
+    try:
+        got = P.infer(unary, chain, np.stack([np.eye(2) * 100] * 3))
+        assert (got == 1).all()
+        weak = P.infer(np.concatenate([unary, unary]), np.concatenate([chain, chain + [n, n, 0]]), np.stack([np.eye(2) * 2] * 3))
+        lone = P.infer(unary, chain, np.stack([np.eye(2) * 2] * 3))
+    finally:
+        P.K = old
+    assert (weak == np.concatenate([lone, lone])).all()
+
+
+def test_a_clear_mention_settles_200_bare_ones_of_a_text(weights):
+    sha = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    bare = " ".join(["words words", sha] * 200)
+    n = P.nodes(B.strings(pa.array([f"token = {sha} {bare}"])))
+    u = P.unaries(weights, n.features)
+    # The bare mentions are slightly towards O, so that only the first one can settle them.
+    u[1:] = u[1:].min()
+    u[1:, P.NUMBER["O"]] = 0.01
+    u[1:, P.NUMBER["SECRET"]] = 0
+    u[0, P.NUMBER["SECRET"]] = u[0].max() + 50
+    pair = np.stack([np.eye(P.K) * 100] * 3)
+    assert len(n.row) == 201 and (P.infer(u, n.edges, pair) == P.NUMBER["SECRET"]).all()
+    assert (P.infer(u, n.edges, pair, rounds=P.ROUNDS) == P.NUMBER["SECRET"]).sum() < 201
+
+
 def test_held_out_accuracy_and_what_the_skips_add(weights):
     n, y = P.labelled(P.generated(500, 4242))
     u = P.unaries(weights, n.features)
