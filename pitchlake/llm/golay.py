@@ -1,10 +1,11 @@
 """Near-duplicate documents: SimHash fingerprints cut into 23-bit segments that are decoded with the
 binary Golay code [23, 12, 7] to nearby codewords.
 
-A fingerprint has ``SEGMENTS`` segments. The first ``KEYED`` of them are decoded: each gives the
+A fingerprint has ``SEGMENTS`` segments, which are keyed in two sets, the first ``KEYED`` and the last ``LAST``, so
+that errors that crowd in the one are few in the other. The segments are decoded: each gives the
 indices of its two nearest codewords, where a bit's share of the distance is how far its sum was from
-zero (an unsure bit is cheap to change). By the pigeonhole principle, few errors in the keyed segments
-leave some ``CHOSEN`` of them with few errors each, so every choice of ``CHOSEN`` segments, with every
+zero (an unsure bit is cheap to change). By the pigeonhole principle, few errors in the segments of a set
+leave some ``CHOSEN`` of them with few errors each, so every choice of ``CHOSEN`` segments of a set, with every
 choice of one codeword for each, is a key of the document. Documents that share a key are candidates;
 a candidate pair counts when the whole fingerprints differ in at most ``MAX_BITS`` bits. Groups are the
 connected components of these pairs, and the smallest doc_id of a group is the one that stays.
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from .shared import cut, fresh, q
 BITS = 23
 SEGMENTS = 12
 KEYED = 7
+LAST = 6
 CHOSEN = 3
 NEAREST = 2
 #: Of 276 bits; a sixth of the bits means a cosine of 0.86 between the sets of words.
@@ -88,12 +91,15 @@ def packed(total: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
-def keys(total: np.ndarray) -> np.ndarray:
-    """The keys of each document, a row of C(KEYED, CHOSEN) * NEAREST ** CHOSEN."""
-    near = np.empty((len(total), KEYED, NEAREST), np.int64)
+def keys(total: np.ndarray, keyed: int = KEYED, number: int = 0) -> np.ndarray:
+    """The keys of the first ``keyed`` segments of each document, a row of C(keyed, CHOSEN) * NEAREST ** CHOSEN.
+
+    Choices of segments are told apart by numbers from ``number`` on.
+    """
+    near = np.empty((len(total), keyed, NEAREST), np.int64)
     words = codewords().T
     for lo in range(0, len(total), 1024):
-        for s in range(KEYED):
+        for s in range(keyed):
             fit = total[lo : lo + 1024, s * BITS : (s + 1) * BITS].astype(np.float32) @ words
             best = fit.argmax(1)
             near[lo : lo + 1024, s, 0] = best
@@ -102,7 +108,7 @@ def keys(total: np.ndarray) -> np.ndarray:
                 best = fit.argmax(1)
                 near[lo : lo + 1024, s, k] = best
     out = []
-    for n, chosen in enumerate(combinations(range(KEYED), CHOSEN)):
+    for n, chosen in enumerate(combinations(range(keyed), CHOSEN), number):
         key = np.full((len(total), 1), n, np.int64)
         for s in chosen:
             key = (key[:, :, None] << 12 | near[:, s, None, :]).reshape(len(total), -1)
@@ -110,6 +116,11 @@ def keys(total: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def all_keys(total: np.ndarray) -> np.ndarray:
+    """The keys of both sets of segments."""
+    return np.concatenate([keys(total), keys(total[:, -LAST * BITS :], LAST, comb(KEYED, CHOSEN))], axis=1)
+
+
 def apart(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Bits in which the fingerprint differs from each of the others."""
     return np.bitwise_count(one ^ many).sum(-1)
@@ -120,7 +131,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in B.slices(batch, "text"):
             total = sums(B.strings(part.column(1)))
             there = total.any(1)
-            yield pa.record_batch([part.column(0), pa.array([t.tobytes() if ok else None for t, ok in zip(packed(total), there)], pa.binary()), pa.array([t.tobytes() if ok else None for t, ok in zip(np.clip(total[:, : KEYED * BITS] * 2, -32767, 32767).astype("<i2"), there)], pa.binary())], ["id", "print", "total"])
+            yield pa.record_batch([part.column(0), pa.array([t.tobytes() if ok else None for t, ok in zip(packed(total), there)], pa.binary()), pa.array([t.tobytes() if ok else None for t, ok in zip(np.clip(total * 2, -32767, 32767).astype("<i2"), there)], pa.binary())], ["id", "print", "total"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +139,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for lo in range(0, len(ids), 2048):
             part = batch.slice(lo, 2048)
-            total = np.frombuffer(b"".join(part.column(1).to_pylist()), "<i2").reshape(part.num_rows, KEYED * BITS)
-            k = keys(total)
+            total = np.frombuffer(b"".join(part.column(1).to_pylist()), "<i2").reshape(part.num_rows, SEGMENTS * BITS)
+            k = all_keys(total)
             yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(ids[lo : lo + 2048], k.shape[1]))], ["key", "id"])
 
 
@@ -221,7 +232,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     # Equal fingerprints are joined by their value; only one of each goes on to the keys.
     tops = cut(prints.groupBy("print").agg(F.min(F.struct("id", "total")).alias("m")).select("print", "m.*"))
     # A task holds the keys of its partition, so their number follows the rows where the session's is too low.
-    rows = tops.count() * len(list(combinations(range(KEYED), CHOSEN))) * NEAREST**CHOSEN
+    rows = tops.count() * (comb(KEYED, CHOSEN) + comb(LAST, CHOSEN)) * NEAREST**CHOSEN
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
     keyed = tops.select("id", "total").mapInArrow(_keys, "key long, id long").repartition(parts, "key")
     shared = keyed.mapInArrow(_shared, "key long, id long")

@@ -71,6 +71,19 @@ def test_nearest_codewords():
     assert (first == fit.argmax(1)).all()
 
 
+def test_keys_reach_pairs_at_the_limit():
+    """Of pairs that differ in 40 bits to the limit, nine in ten share a key; made by errors anywhere in the fingerprint."""
+    r = np.random.default_rng(7)
+    one = r.normal(size=(4000, G.SEGMENTS * G.BITS))
+    two = 0.88 * one + (1 - 0.88**2) ** 0.5 * r.normal(size=one.shape)
+    bits = ((one > 0) != (two > 0)).sum(1)
+    far = (bits >= 40) & (bits <= G.MAX_BITS)
+    a, b = (G.all_keys(x[far]) for x in (one, two))
+    assert len(a) > 1000 and a.shape[1] == (35 + 20) * 8
+    found = np.array([len(np.intersect1d(x, y)) > 0 for x, y in zip(a, b)])
+    assert found.mean() >= 0.9
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_near_copies_equal_brute_force(spark, seed):
     rows = made(seed)
