@@ -1,18 +1,19 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of its ``PREFIX`` nearest pivots (Chavez, Figueroa and Navarro, 2008). Each
-shard posts its vectors in the inverted files of these pivots. A query ranks vectors by the footrule distance
-between its order and theirs: the sum over pivots of how far apart their places are, a pivot that isn't
-among the nearest having place ``PREFIX``. All vectors within ``MOST_FOOTRULE`` of the greatest distance are
-reranked by their cosine.
-
-For orders a and b the footrule is PREFIX (PREFIX + 1) less twice the sum, over the pivots in both, of PREFIX - max(place in a,
-place in b): so it is summed up from the inverted files of the query's own pivots. A vector is in one of eight of
-them (PREFIX / PIVOTS), so that a file holds a byte for each vector of the shard rather than a list of those in it.
+A vector is represented by the order of its ``POSTED`` nearest pivots of ``PIVOTS`` (Chavez, Figueroa and Navarro, 2008), and
+posted with its place in each of them in these pivots' inverted files (Amato and Savino, 2008). A query reads the
+files of its own ``PROBED`` nearest pivots and ranks the vectors that it meets there by the footrule distance: the sum
+over these pivots of how far apart the places are, a pivot that isn't among a vector's nearest having place
+``POSTED``. The nearest ``RERANKED`` of each shard, with all that tie with the last, are reranked by their cosine.
+
+Shards are of bounded size, and so are the blocks of queries that are sent to all of them: nothing is shuffled
+but the best of each task.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,103 +23,119 @@ from . import vectors as V
 from .shared import cut
 
 K = 10
-PIVOTS = 256
-PREFIX = 32
-#: Share of the greatest footrule distance up to which vectors are reranked.
-MOST_FOOTRULE = 0.9
+#: Queries are the rows whose id is divisible by this.
+EVERY = 50
+PIVOTS = 512
+#: Nearest pivots in whose files a vector is posted, and whose files a query reads.
+POSTED = 128
+PROBED = 32
+#: Share of a shard's vectors, the nearest by footrule, that are reranked; at least LEAST_RERANKED of them.
+RERANKED = 0.12
+LEAST_RERANKED = 100
 SHARD_ROWS = 16384
+#: A small table is cut into so many shards all the same, for parallelism.
+LEAST_SHARDS = 6
 SEED = 9
 
 
 def normal(x: np.ndarray) -> np.ndarray:
     """Rows of length one; a zero row stays zero."""
-    size = np.sqrt((x**2).sum(1, keepdims=True))
+    size = V.length(x)[:, None]
     return x / np.where(size > 0, size, 1)
 
 
-def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """The numbers of each vector's nearest pivots, nearest first; ties go to the lower number."""
-    near = np.round(x @ pivots.T, V.DECIMALS)
-    return np.argsort(-near, axis=1, kind="stable")[:, :prefix].astype(np.uint8 if len(pivots) <= 256 else np.int32)
+def orders(x: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
+    """The numbers of each vector's nearest pivots, nearest first; ties (to six decimals) go to the lower number."""
+    near = np.round(x @ pivots.T, 6)
+    return np.argsort(-near, axis=1, kind="stable")[:, :posted].astype(np.uint16)
 
 
-def inverted(order: np.ndarray, pivots: int) -> np.ndarray:
-    """The inverted files: row p holds, for each vector, PREFIX less the place of pivot p in its order (0: not there)."""
-    n, prefix = order.shape
-    files = np.zeros((pivots, n), np.uint8 if prefix < 256 else np.uint16)
-    files[order.T, np.arange(n)[None]] = (prefix - np.arange(prefix))[:, None]
-    return files
+@dataclass
+class Files:
+    """Inverted files one after the other: that of pivot p is ``start[p]`` to ``start[p + 1]`` of vectors and places."""
 
+    start: np.ndarray
+    vector: np.ndarray
+    place: np.ndarray
 
-def footrule(files: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Footrule distance of one order to those of all vectors of the files."""
-    prefix = len(order)
-    shared = np.zeros(files.shape[1], np.uint16 if prefix < 256 else np.uint32)
-    for place, pivot in enumerate(order):
-        shared += np.minimum(files[pivot], prefix - place)
-    return prefix * (prefix + 1) - 2 * shared.astype(np.int64)
 
+def inverted(order: np.ndarray, pivots: int) -> Files:
+    n, posted = order.shape
+    flat = order.ravel()
+    by_pivot = np.argsort(flat, kind="stable")
+    start = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=pivots))])
+    return Files(start, (by_pivot // posted).astype(np.int32), (by_pivot % posted).astype(np.int16))
 
-def search(x: np.ndarray, ids: np.ndarray, files: np.ndarray, queries: np.ndarray, own: np.ndarray, order: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids (-1: none) of the k best candidates of each query in one shard.
 
-    Where fewer than k are within the limit, those that share a pivot are reranked, and where these are
-    fewer than k too, all are.
-    """
+def footrule(files: Files, n: int, order: np.ndarray, posted: int) -> np.ndarray:
+    """Footrule distance over the pivots of ``order`` (those that the query probes) to each of the n vectors of the files."""
+    place = np.arange(len(order))
+    lo = files.start[order]
+    size = files.start[order.astype(np.int64) + 1] - lo
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1]) + np.repeat(lo - ends + size, size)
+    mine = np.repeat(place.astype(np.int16), size)
+    # A vector that isn't in a pivot's file is posted - place away; each entry says how much nearer it is.
+    nearer = posted - mine - np.abs(files.place[at] - mine)
+    return int((posted - place).sum()) - np.bincount(files.vector[at], nearer, n).astype(np.int64)
+
+
+def search(x: np.ndarray, ids: np.ndarray, files: Files, queries: np.ndarray, own: np.ndarray, order: np.ndarray, posted: int, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (minus infinity: none) and ids of the k best candidates of each query in one shard."""
     score, found = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, np.int64)
-    coarse, coarse_q = x.astype(np.float32), queries.astype(np.float32)
-    far = order.shape[1] * (order.shape[1] + 1)
+    take = min(len(x), max(LEAST_RERANKED, k + 1, int(np.ceil(share * len(x)))))
     for r in range(len(queries)):
-        d = footrule(files, order[r])
-        here = np.flatnonzero(d <= most * far)
-        for wider in (d < far, d <= far):
-            if len(here) > k:
-                break
-            here = np.flatnonzero(wider)
+        d = footrule(files, len(x), order[r], posted)
+        here = np.flatnonzero(d <= np.partition(d, take - 1)[take - 1])
         here = here[ids[here] != own[r]]
-        if len(here) > 4 * k:
-            s = coarse[here] @ coarse_q[r]
-            here = here[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-5]
-        s = np.round(x[here] @ queries[r], V.DECIMALS)[None]
+        s = (x[here] * queries[r]).sum(1)[None]
         pick = V.best(s, ids[here][None], k)[0]
         score[r, : len(pick)], found[r, : len(pick)] = s[0, pick], ids[here][pick]
     return score, found
 
 
-def neighbors(points: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, most: float = MOST_FOOTRULE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbor_id, score): about the k other vectors of greatest cosine with each vector.
+def neighbors(points: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding", every: int = 1, pivots: int = PIVOTS, posted: int = POSTED, probed: int = PROBED, share: float = RERANKED, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(vec_id, rank, neighbor_id, score): about the k other vectors of greatest cosine with each query.
 
-    Every row is a query, and searches every shard. Ties (to ten decimals) go to the lower id; where there are fewer
-    than k others, all are given. The cosine with a zero vector is 0. ``score`` is rounded to six decimals. What
-    counts as a vector, and repeated or null ids, are as ``vectors.clean`` says. A table of fewer vectors than ``pivots``
-    has each of them as a pivot. Other columns aren't looked at; an empty table, or one vector, gives no rows.
+    Queries are the rows whose id is divisible by ``every``; each searches every shard, and every row is indexed. Ties go
+    to the lower id; where there are fewer than k others, all are given. The cosine with a zero vector is 0. What counts
+    as a vector, and repeated or null ids, are as ``vectors.clean`` says. A table of fewer vectors than
+    ``pivots`` has each of them as a pivot. Other columns aren't looked at; an empty table, or one vector, gives no rows.
     """
     vecs, width = V.clean(points, key, vector)
-    chosen = normal(V.sample(vecs, pivots, SEED)[1])
+    chosen = normal(V.sample(vecs, pivots, SEED))
     if len(chosen) < 2:
         return V.nothing(points, key)
-    prefix = min(prefix, len(chosen))
-    shards = max(1, -(-vecs.count() // shard_rows))
-
-    def ordered(batches):
-        for b in batches:
-            x = normal(V.matrix(b.column("v"), width))
-            o = orders(x, chosen, prefix)
-            yield pa.record_batch([b.column("id"), V.vectors(x), pa.array([r.tobytes() for r in o], pa.binary())], ["id", "v", "o"])
-
-    indexed = vecs.mapInArrow(ordered, "id long, v array<double>, o binary")
-    indexed = cut(indexed.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(shards)).cast("int")))
-    kind = np.uint8 if len(chosen) <= 256 else np.int32
-
-    def of(xs: pa.Table, qs: pa.Table) -> pa.Table:
-        x, q = V.matrix(xs["v"], width), V.matrix(qs["v"], width)
-        read = lambda t: np.frombuffer(b"".join(t["o"].to_pylist()), kind).reshape(t.num_rows, prefix)
-        s, f = search(x, xs["id"].to_numpy(), inverted(read(xs), len(chosen)), q, qs["id"].to_numpy(), read(qs), k, most)
-        return pa.table([qs["id"], V.near_column(s, f)], names=["id", "near"])
-
-    # Each pair of a shard and a block of queries is a task of bounded size.
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    xs = indexed.select("shard", "id", "v", "o", every.alias("block"))
-    qs = indexed.select(F.col("shard").alias("block"), "id", "v", "o", every.alias("shard"))
-    found = xs.groupBy("shard", "block").cogroup(qs.groupBy("shard", "block")).applyInArrow(of, f"id long, near {V.NEAR}")
-    return V.ranked(found, k, key)
+    posted = min(posted, len(chosen))
+    n = vecs.count()
+    shards = max(-(-n // shard_rows), min(LEAST_SHARDS, n // LEAST_RERANKED), 1)
+
+    def packed(t: pa.Table) -> pa.Table:
+        x = normal(V.matrix(t["v"], width))
+        return pa.table([V.blob(a) for a in (t["id"].to_numpy(), x, orders(x, chosen, posted))], names=["ids", "x", "orders"])
+
+    sharded = vecs.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(shards)))
+    index = cut(sharded.groupBy("shard").applyInArrow(packed, "ids binary, x binary, orders binary"))
+
+    def block(asked: np.ndarray, queries: np.ndarray) -> DataFrame:
+        queries = normal(queries)
+        order = orders(queries, chosen, min(probed, posted))
+
+        def run(batches):
+            score = found = None
+            for b in batches:
+                for r in range(b.num_rows):
+                    x, ids = V.unblob(b.column("x")[r], np.float64, -1, width), V.unblob(b.column("ids")[r], np.int64)
+                    files = inverted(V.unblob(b.column("orders")[r], np.uint16, -1, posted), len(chosen))
+                    s, f = search(x, ids, files, queries, asked, order, posted, k, share)
+                    score, found = (s, f) if score is None else V.merged(score, found, s, f)
+            if score is not None:
+                yield pa.record_batch([pa.array(asked), V.near_column(score, found)], ["id", "near"])
+
+        return cut(index.mapInArrow(run, f"id long, near {V.NEAR}"))
+
+    found = None
+    for asked, queries in V.query_blocks(vecs, width, every):
+        got = block(asked, queries)
+        found = got if found is None else found.unionByName(got)
+    return V.nothing(points, key) if found is None else V.ranked(found, k, key)

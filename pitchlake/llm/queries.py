@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import balltree, golay, htmltext, mixing, packing, permutation, pii, quality, ring, warc
 from .shared import table
@@ -19,7 +20,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_balltree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balltree.top_k(table(spark, sf_dir, "embeddings"))
+    got = balltree.top_k(table(spark, sf_dir, "embeddings"), every=balltree.EVERY)
+    return got.withColumn("score", F.round("score", 6))
 
 
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return permutation.neighbors(table(spark, sf_dir, "embeddings"))
+    return permutation.neighbors(table(spark, sf_dir, "embeddings"), every=permutation.EVERY)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
