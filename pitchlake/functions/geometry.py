@@ -1,18 +1,10 @@
-"""Box and point geometry as column expressions; all stay inside generated JVM code."""
+"""Box and point geometry as column expressions; nothing is rounded."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Added before rounding, so that exact decimal ties fall the same way in every SQL engine.
-NUDGE = 0.0000137
-
-
-def rounded(value: Column, digits: int = 4) -> Column:
-    return F.round(value + F.lit(NUDGE), digits)
-
-
 def box(prefix: str = "") -> tuple[Column, Column, Column, Column]:
     """The four corner columns, of the table alias given."""
     at = f"{prefix}." if prefix else ""

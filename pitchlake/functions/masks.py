@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -35,9 +33,20 @@ def mask_to_box(mask: Column, width: int) -> Column:
 
 
 def mask_intersection(a: Column, b: Column) -> Column:
-    """Pixels that two masks share."""
-    one = lambda r, s: F.greatest(F.lit(0), F.least(r["start"] + r["len"], s["start"] + s["len"]) - F.greatest(r["start"], s["start"]))
-    return F.aggregate(a, F.lit(0), lambda n, r: n + F.aggregate(b, F.lit(0), lambda k, s: k + one(r, s)))
+    """Pixels that two masks share: one sweep over where runs begin and end. Runs of a mask don't overlap."""
+
+    def edges(mask: Column, weight: int) -> Column:
+        one = lambda at, w: F.struct(at.cast("int").alias("at"), F.lit(w).alias("w"))
+        return F.flatten(F.transform(mask, lambda r: F.array(one(r["start"], weight), one(r["start"] + r["len"], -weight))))
+
+    # In both masks where the weights on hold, 1 and 2, make 3.
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("on"), F.lit(0).alias("n"))
+    swept = F.aggregate(
+        F.array_sort(F.concat(edges(a, 1), edges(b, 2))),
+        start,
+        lambda s, e: F.struct(e["at"].alias("at"), (s["on"] + e["w"]).alias("on"), F.when(s["on"] == 3, s["n"] + e["at"] - s["at"]).otherwise(s["n"]).alias("n")),
+    )
+    return swept["n"]
 
 
 def mask_overlap(a: Column, b: Column, metric: str = "ios") -> Column:
@@ -46,39 +55,55 @@ def mask_overlap(a: Column, b: Column, metric: str = "ios") -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def _row_runs(runs: list, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, first x, last x) of the longest runs within rows, in order."""
+    start = np.array([r["start"] for r in runs], np.int64)
+    last = start + np.array([r["len"] for r in runs], np.int64) - 1
+    keep = last >= start
+    start, last = start[keep], last[keep]
+    rows = last // width - start // width + 1
+    y = np.repeat(start // width, rows) + np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+    lo, hi = np.maximum(np.repeat(start, rows), y * width), np.minimum(np.repeat(last, rows), y * width + width - 1)
+    order = np.argsort(lo, kind="stable")
+    y, lo, hi = y[order], lo[order], np.maximum.accumulate(hi[order])
+    new = np.flatnonzero(np.append(True, (lo[1:] > hi[:-1] + 1) | (y[1:] != y[:-1]))) if len(lo) else np.arange(0)
+    return y[new], lo[new] % width, np.maximum.reduceat(hi, new) % width if len(new) else new
+
+
+def _parts(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int) -> np.ndarray:
+    """The number of each run's connected part, diagonal neighbours included: union-find over runs of neighbouring rows."""
+    parent = list(range(len(y)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    first = np.searchsorted(y * width + x1, (y + 1) * width + np.maximum(x0 - 1, 0))
+    end = np.searchsorted(y * width + x0, (y + 1) * width + np.minimum(x1 + 1, width - 1), side="right")
+    for k, (lo, hi) in enumerate(zip(first.tolist(), end.tolist())):
+        for other in range(lo, hi):
+            parent[root(other)] = root(k)
+    return np.unique([root(k) for k in range(len(y))], return_inverse=True)[1]
+
+
 def keep_near_segments(runs: list, width: int, relative_distance: float) -> list:
     """The largest connected part, and each part whose edge is within that share of the mask's diagonal of it."""
-    if not runs:
+    y, x0, x1 = _row_runs(runs, width) if runs else ((), (), ())
+    if not len(y):
         return []
-    pixels = np.concatenate([np.arange(r["start"], r["start"] + r["len"]) for r in runs])
-    left = set(pixels.tolist())
-    parts = []
-    while left:
-        todo, part = deque([left.pop()]), []
-        while todo:
-            p = todo.popleft()
-            part.append(p)
-            for dx in (-1, 0, 1):
-                if 0 <= p % width + dx < width:
-                    for n in (p + dx - width, p + dx, p + dx + width):
-                        if n in left:
-                            left.remove(n)
-                            todo.append(n)
-        parts.append(np.sort(np.array(part)))
-    parts.sort(key=lambda p: (-len(p), p[0]))
-    xy = np.stack([pixels % width, pixels // width], 1)
-    limit = relative_distance * float(np.hypot(*(xy.max(0) - xy.min(0) + 1)))
-    main = np.stack([parts[0] % width, parts[0] // width], 1)
-    kept = [parts[0]]
-    for p in parts[1:]:
-        at = np.stack([p % width, p // width], 1)
-        near = min(float(np.hypot(*(main - q).T).min()) for q in at)
-        if near <= limit:
-            kept.append(p)
-    out = np.sort(np.concatenate(kept))
-    # A run ends where the numbers break or a row of the frame does.
-    cut = np.flatnonzero((np.diff(out) > 1) | (out[1:] % width == 0)) + 1
-    return [{"start": int(s[0]), "len": len(s)} for s in np.split(out, cut)]
+    part = _parts(y, x0, x1, width)
+    limit = relative_distance * float(np.hypot(x1.max() - x0.min() + 1, y.max() - y.min() + 1))
+    # Of equally large ones, the one that begins first.
+    main = max(range(part.max() + 1), key=lambda p: ((x1 - x0 + 1)[part == p].sum(), -np.flatnonzero(part == p)[0]))
+    own = part == main
+    kept = own.copy()
+    for p in range(part.max() + 1):
+        other = part == p
+        gap = np.maximum(0, np.maximum(x0[other][:, None] - x1[own], x0[own] - x1[other][:, None]))
+        kept |= other & (np.hypot(gap, y[other][:, None] - y[own]).min() <= limit)
+    return [{"start": int(a), "len": int(n)} for a, n in zip((y * width + x0)[kept], (x1 - x0 + 1)[kept])]
 
 
 def filter_segments(width: int, relative_distance: float = 0.03):

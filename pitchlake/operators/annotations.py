@@ -20,16 +20,16 @@ def split_order(split: Column | str) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SPLITS]), split)
 
 
-def with_ids(df: DataFrame, order: list[Column | str], name: str, buckets: int = 64) -> DataFrame:
+def with_ids(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """Numbers from 0 over the whole table in the given order, without bringing it into one task.
 
-    The rows are range-partitioned and each part is numbered by itself; the counts of the parts (one row
-    each) give the offsets. The parts are written to the checkpoint folder first, so that both reads of
+    The rows are range-partitioned, into as many parts as a shuffle has, and each part is numbered by itself; the counts
+    of the parts (one row each) give the offsets. The parts are written to the checkpoint folder first, so that both reads of
     them, and a task that runs again, see the same ones.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     names = [f"_o{k}" for k in range(len(cols))]
-    parts = df.withColumns(dict(zip(names, cols))).repartitionByRange(buckets, *names).withColumn("_part", F.spark_partition_id())
+    parts = df.withColumns(dict(zip(names, cols))).repartitionByRange(*names).withColumn("_part", F.spark_partition_id())
     parts = written(parts)
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -87,7 +87,7 @@ def with_new_category(categories: DataFrame, name: str) -> DataFrame:
 
 def named(annotations: DataFrame, categories: DataFrame, unknown: str = "unknown", strict: bool = False) -> DataFrame:
     """Annotations with ``name`` of their category; ``strict`` raises where one has none."""
-    names = F.broadcast(categories.select(F.col("id").alias("category_id"), "name"))
+    names = categories.select(F.col("id").alias("category_id"), "name")
     if strict and not annotations.join(names, "category_id", "left_anti").isEmpty():
         raise KeyError("an annotation's category isn't listed")
     return annotations.join(names, "category_id", "left").withColumn("name", F.coalesce("name", F.lit(unknown)))

@@ -1,4 +1,4 @@
-"""Row filters and identifiers of detections. Plain predicates, so that Catalyst pushes them to the scan."""
+"""Row filters and identifiers of detections. Plain predicates, which Catalyst pushes as far down as the input allows."""
 
 from __future__ import annotations
 

@@ -9,22 +9,13 @@ from ..functions import text as X
 from ..schemas import DEFAULTS, Settings
 from . import filters, sequence, spatial
 
-#: Dimension tables of at most this many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def small(dimension: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, marked for broadcast if it is known to be small enough."""
-    return F.broadcast(dimension) if dimension.limit(limit + 1).count() <= limit else dimension
-
-
 def with_players(rows: DataFrame, rosters: DataFrame) -> DataFrame:
     """Rows (team_id, number) with ``player`` of the roster, null where the number isn't listed."""
-    return rows.join(small(rosters.select("team_id", "number", "player")), ["team_id", "number"], "left")
+    return rows.join(rosters.select("team_id", "number", "player"), ["team_id", "number"], "left")
 
 
 def with_team_colors(rows: DataFrame, teams: DataFrame) -> DataFrame:
-    return rows.join(small(teams), "team_id", "left")
+    return rows.join(teams, "team_id", "left")
 
 
 def number_reads(players: DataFrame, numbers: DataFrame, s: Settings = DEFAULTS, keys: tuple[str, ...] = ("video_id", "frame_idx")) -> DataFrame:

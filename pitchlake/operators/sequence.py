@@ -15,8 +15,9 @@ TRACK = ("tracker_id",)
 def streaks(reads: DataFrame, keys: tuple[str, ...] = TRACK, order: tuple[str, ...] = ("frame_idx",), value: str = "value") -> DataFrame:
     """Each read with ``streak``: how many reads of the track in a row, up to it, had its value.
 
-    Only reads count: frames between them don't break a streak.
+    Only reads count: frames between them don't break a streak, and neither do nulls, which aren't reads.
     """
+    reads = reads.where(F.col(value).isNotNull())
     by_track, by_value = W.partitionBy(*keys).orderBy(*order), W.partitionBy(*keys, value).orderBy(*order)
     run = F.row_number().over(by_track) - F.row_number().over(by_value)
     got = reads.withColumn("_run", run)
@@ -91,12 +92,12 @@ def padded_mask(path: DataFrame, s: Settings = DEFAULTS, keys: tuple[str, ...] =
 def interpolated(path: DataFrame, coords: tuple[str, ...] = ("x", "y"), keys: tuple[str, ...] = TRACK, order: str = "frame_idx") -> DataFrame:
     """Null coordinates filled in a straight line between their neighbours, by place; at the ends by the nearest value."""
     by = W.partitionBy(*keys).orderBy(order)
-    before, after = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(0, W.unboundedFollowing)
     got = path.withColumn("_n", F.row_number().over(by))
+    # What follows is the last one of the other direction: a frame that grows by a row, not one that is gone through anew for each row.
+    before, after = (W.partitionBy(*keys).orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc("_n"), F.desc("_n")))
     for c in coords:
         at = F.when(F.col(c).isNotNull(), F.col("_n"))
-        v0, n0 = F.last(c, ignorenulls=True).over(before), F.last(at, ignorenulls=True).over(before)
-        v1, n1 = F.first(c, ignorenulls=True).over(after), F.first(at, ignorenulls=True).over(after)
+        (v0, n0), (v1, n1) = ((F.last(c, ignorenulls=True).over(w), F.last(at, ignorenulls=True).over(w)) for w in (before, after))
         got = got.withColumns({"_v0": v0, "_n0": n0, "_v1": v1, "_n1": n1})
         line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col("_n") - F.col("_n0")) / (F.col("_n1") - F.col("_n0"))
         got = got.withColumn(c, F.coalesce(F.col(c), line, F.col("_v0"), F.col("_v1"))).drop("_v0", "_n0", "_v1", "_n1")

@@ -25,6 +25,8 @@ VIDEO_FRAMES = 500
 FRAME = (64, 48)
 JERSEY_CATEGORY = 5
 ONE = ("x",)
+#: Decimals of what is fitted by least squares; all else is compared as it is.
+FITTED = 6
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -84,7 +86,7 @@ def yolo_to_coco(spark, d):
     cx, cy = G.center(x1, y1, x2, y2)
     yolo = (cx / 1280, cy / 720, (x2 - x1) / 1280, (y2 - y1) / 720)
     got = G.yolo_to_xywh(*yolo, F.lit(1280), F.lit(720))
-    return _box(V.detections(spark, d), *[(n, G.rounded(v)) for n, v in zip("xywh", got)])
+    return _box(V.detections(spark, d), *zip("xywh", got))
 
 
 @query
@@ -105,7 +107,7 @@ def box_area_center(spark, d):
 
 @query
 def scale_boxes(spark, d):
-    return _box(V.detections(spark, d), *[(n, G.rounded(v)) for n, v in zip(BOX, G.scaled(*G.box(), DEFAULTS.crop_scale))])
+    return _box(V.detections(spark, d), *zip(BOX, G.scaled(*G.box(), DEFAULTS.crop_scale)))
 
 
 @query
@@ -131,17 +133,17 @@ def point_in_box(spark, d):
 
 @query
 def pairwise_iou(spark, d):
-    return spatial.pairs(V.detections(spark, d)).select("image_id", "a_idx", "b_idx", G.rounded(F.col("iou")).alias("iou"))
+    return spatial.pairs(V.detections(spark, d)).select("image_id", "a_idx", "b_idx", "iou")
 
 
 @query
 def pairwise_ios(spark, d):
-    return spatial.pairs(V.detections(spark, d)).select("image_id", "a_idx", "b_idx", G.rounded(F.col("ios")).alias("ios"))
+    return spatial.pairs(V.detections(spark, d)).select("image_id", "a_idx", "b_idx", "ios")
 
 
 @query
 def match_numbers_to_players(spark, d):
-    return spatial.match(*_players_numbers(spark, d), DEFAULTS.match_overlap).withColumn("ios", G.rounded(F.col("ios")))
+    return spatial.match(*_players_numbers(spark, d), DEFAULTS.match_overlap)
 
 
 @query
@@ -241,7 +243,7 @@ def class_difference(spark, d):
 @query
 def dense_positions(spark, d):
     got = sequence.dense(sequence.dense_index(V.paths(spark, d)), ONE)
-    return got.select("t", F.array_join(F.transform("points", lambda p: G.rounded(p[0]).cast("decimal(12,4)").cast("string")), ",").alias("points"))
+    return got.select("t", F.array_join(F.transform("points", lambda p: p[0].cast("string")), ",").alias("points"))
 
 
 @query
@@ -291,7 +293,7 @@ def true_runs(spark, d):
 
 @query
 def path_jumps(spark, d):
-    return sequence.jumps(V.paths(spark, d), PATH, ONE).select("tracker_id", "frame_idx", G.rounded(F.col("step")).alias("step"), "jump")
+    return sequence.jumps(V.paths(spark, d), PATH, ONE).select("tracker_id", "frame_idx", "step", "jump")
 
 
 @query
@@ -308,17 +310,17 @@ def path_padded_mask(spark, d):
 @query
 def path_interpolate(spark, d):
     gaps = V.paths(spark, d).withColumn("x", F.when(~(F.col("frame_idx") % 7).isin(3, 4), F.col("x")))
-    return sequence.interpolated(gaps, ONE).withColumn("x", G.rounded(F.col("x")))
+    return sequence.interpolated(gaps, ONE)
 
 
 @query
 def path_smooth(spark, d):
-    return sequence.smoothed(V.paths(spark, d), ONE).withColumn("x", G.rounded(F.col("x")))
+    return sequence.smoothed(V.paths(spark, d), ONE)
 
 
 @query
 def path_clean(spark, d):
-    return sequence.cleaned(V.paths(spark, d), PATH, ONE).withColumn("x", G.rounded(F.col("x"))).select("tracker_id", "frame_idx", "edited", "x")
+    return sequence.cleaned(V.paths(spark, d), PATH, ONE).select("tracker_id", "frame_idx", "edited", "x")
 
 
 @query
@@ -338,7 +340,7 @@ def keypoint_support(spark, d):
 @query
 def vertex_match(spark, d):
     seen = _seen(spark, d).drop("cx", "cy").join(F.broadcast(V.court_vertices(spark)), "kp_idx")
-    return seen.select("frame_idx", "kp_idx", G.rounded(F.col("x")).alias("x"), G.rounded(F.col("y")).alias("y"), "cx", "cy")
+    return seen.select("frame_idx", "kp_idx", "x", "y", "cx", "cy")
 
 
 @query
@@ -347,7 +349,7 @@ def court_positions(spark, d):
     x, y = G.bottom_center(*G.box())
     players = filters.of_classes(V.detections(spark, d), DEFAULTS.player_classes)
     got = spatial.to_court(players.select(F.col("image_id").alias("frame_idx"), "det_idx", x.alias("x"), y.alias("y")), matrices)
-    return got.select(F.col("frame_idx").alias("image_id"), "det_idx", G.rounded(F.col("court_x")).alias("court_x"), G.rounded(F.col("court_y")).alias("court_y"))
+    return got.select(F.col("frame_idx").alias("image_id"), "det_idx", *[F.round(c, FITTED).alias(c) for c in ("court_x", "court_y")])
 
 
 def _lines(spark, d):
@@ -360,7 +362,7 @@ def _lines(spark, d):
 
 @query
 def parse_yolo_lines(spark, d):
-    return _lines(spark, d)[0].select("id", "class_id", *[G.rounded(F.col(c)).alias(c) for c in ("xc", "yc", "w", "h")])
+    return _lines(spark, d)[0].select("id", "class_id", "xc", "yc", "w", "h")
 
 
 @query
@@ -388,7 +390,7 @@ def mask_boxes(spark, d):
 def mask_overlap(spark, d):
     players, numbers = (_masked(x).alias(a) for x, a in zip(_players_numbers(spark, d), "pn"))
     got = players.join(numbers, (F.col("p.image_id") == F.col("n.image_id")) & spatial.overlapping())
-    return got.select(F.col("p.image_id").alias("image_id"), F.col("p.det_idx").alias("p_idx"), F.col("n.det_idx").alias("n_idx"), G.rounded(M.mask_overlap(F.col("p.mask"), F.col("n.mask"))).alias("ios"))
+    return got.select(F.col("p.image_id").alias("image_id"), F.col("p.det_idx").alias("p_idx"), F.col("n.det_idx").alias("n_idx"), M.mask_overlap(F.col("p.mask"), F.col("n.mask")).alias("ios"))
 
 
 @query

@@ -35,10 +35,6 @@ KEYPOINTS = COURT + """, keypoints as (
 BOXES = "image_id, det_idx, class_id, confidence, x1, y1, x2, y2"
 
 
-def _r(value: str, digits: int = 4) -> str:
-    return f"round({value} + 0.0000137, {digits})"
-
-
 def _inter(a: str, b: str) -> str:
     return f"(greatest(0.0::double, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0.0::double, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1)))"
 
@@ -201,18 +197,18 @@ SQL: dict[str, str] = {
     "frame_modulo": _det(f"select {BOXES} from det where image_id % 5 = 0"),
     "first_frame": _det(f"select {BOXES} from det where image_id % 500 = 0"),
     "track_id_assign": _det("select image_id, det_idx, cast(row_number() over (partition by image_id order by det_idx) as int) as tracker_id from det where class_id in (1, 2)"),
-    "yolo_to_coco": _det(f"""select image_id, det_idx, {_r('xc * 1280 - w * 1280 / 2')} as x, {_r('yc * 720 - h * 720 / 2')} as y, {_r('w * 1280')} as w, {_r('h * 720')} as h
+    "yolo_to_coco": _det(f"""select image_id, det_idx, xc * 1280 - w * 1280 / 2 as x, yc * 720 - h * 720 / 2 as y, w * 1280 as w, h * 720 as h
 from (select *, (x1 + x2) / 2 / 1280 as xc, (y1 + y2) / 2 / 720 as yc, (x2 - x1) / 1280 as w, (y2 - y1) / 720 as h from det)"""),
     "xyxy_to_xywh": _det("select image_id, det_idx, x1 as x, y1 as y, x2 - x1 as w, y2 - y1 as h from det"),
     "xywh_to_xyxy": _det("select image_id, det_idx, x1, y1, x2, y2 from det"),
     "box_area_center": _det("select image_id, det_idx, (x2 - x1) * (y2 - y1) as area, (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy from det"),
-    "scale_boxes": _det(f"select image_id, det_idx, {_r('(x1 + x2) / 2 - (x2 - x1) * 0.4 / 2')} as x1, {_r('(y1 + y2) / 2 - (y2 - y1) * 0.4 / 2')} as y1, {_r('(x1 + x2) / 2 + (x2 - x1) * 0.4 / 2')} as x2, {_r('(y1 + y2) / 2 + (y2 - y1) * 0.4 / 2')} as y2 from det"),
+    "scale_boxes": _det(f"select image_id, det_idx, (x1 + x2) / 2 - (x2 - x1) * 0.4 / 2 as x1, (y1 + y2) / 2 - (y2 - y1) * 0.4 / 2 as y1, (x1 + x2) / 2 + (x2 - x1) * 0.4 / 2 as x2, (y1 + y2) / 2 + (y2 - y1) * 0.4 / 2 as y2 from det"),
     "pad_clip_boxes": _det("select image_id, det_idx, greatest(0.0::double, least(x1 - 10, 64)) as x1, greatest(0.0::double, least(y1 - 10, 48)) as y1, greatest(0.0::double, least(x2 + 10, 64)) as x2, greatest(0.0::double, least(y2 + 10, 48)) as y2 from det"),
     "bottom_center": _det("select image_id, det_idx, (x1 + x2) / 2 as x, y2 as y from det"),
     "point_in_box": _det(f"select p.image_id, n.det_idx as n_idx, p.det_idx as p_idx from det p join det n on p.image_id = n.image_id where p.class_id in (1, 2) and n.class_id = 4 and {_centre_in('n', 'p')}"),
-    "pairwise_iou": _det(f"select a.image_id, a.det_idx as a_idx, b.det_idx as b_idx, {_r(_iou('a', 'b'))} as iou from det a join det b on a.image_id = b.image_id and a.det_idx < b.det_idx"),
-    "pairwise_ios": _det(f"select a.image_id, a.det_idx as a_idx, b.det_idx as b_idx, {_r(_ios('a', 'b'))} as ios from det a join det b on a.image_id = b.image_id and a.det_idx < b.det_idx"),
-    "match_numbers_to_players": _det(f"""select image_id, p_idx, n_idx, {_r('ios')} as ios, cast(row_number() over (partition by image_id order by ios desc, p_idx, n_idx) as int) as pair_rank
+    "pairwise_iou": _det(f"select a.image_id, a.det_idx as a_idx, b.det_idx as b_idx, {_iou('a', 'b')} as iou from det a join det b on a.image_id = b.image_id and a.det_idx < b.det_idx"),
+    "pairwise_ios": _det(f"select a.image_id, a.det_idx as a_idx, b.det_idx as b_idx, {_ios('a', 'b')} as ios from det a join det b on a.image_id = b.image_id and a.det_idx < b.det_idx"),
+    "match_numbers_to_players": _det(f"""select image_id, p_idx, n_idx, ios, cast(row_number() over (partition by image_id order by ios desc, p_idx, n_idx) as int) as pair_rank
 from (select p.image_id, p.det_idx as p_idx, n.det_idx as n_idx, {_ios('p', 'n')} as ios from det p join det n on p.image_id = n.image_id where p.class_id in (1, 2) and n.class_id = 4) where ios > 0.9"""),
     "exclude_centers": _det(f"select image_id, det_idx, x1, y1, x2, y2 from det b where class_id = 4 and not exists (select 1 from det z where z.class_id = 3 and z.image_id = b.image_id and {_centre_in('b', 'z')})"),
     "nms": _with(DET, _nms("det", 0.25), recursive=True) + "select r.image_id, r.det_idx, r.confidence, r.x1, r.y1, r.x2, r.y2 from ranked r join kept k on r.image_id = k.image_id and r.rk = k.rk",
@@ -229,7 +225,7 @@ from (select p.image_id, p.det_idx as p_idx, n.det_idx as n_idx, {_ios('p', 'n')
     "basic_annotations": _with(DET, "predicted as (select * from det where class_id = 4 and confidence > 0.3)", _MERGED) + f"select {_TRUTH_IDS} as id, m.image_id, m.origin, m.seq, m.category_id, m.x, m.y, m.w, m.h, m.w * m.h as area, m.score from merged m",
     "score_labels": _with(DET, CATEGORIES) + "select image_id, det_idx, format('{} {:.2f}', name, confidence) as label from det join categories c on c.id = det.class_id",
     "class_difference": "select p_partkey as part, '2' as classes from part",
-    "dense_positions": _with(PATHS) + f"select t, string_agg(cast(cast({_r('x')} as decimal(12,4)) as varchar), ',' order by tracker_id) as points from (select *, frame_idx - 1 as t from path) group by t",
+    "dense_positions": _with(PATHS) + f"select t, string_agg(cast(x as varchar), ',' order by tracker_id) as points from (select *, frame_idx - 1 as t from path) group by t",
     "new_category": _with(CATEGORIES) + "select id, name from categories union all select cast(count(*) as int), 'jersey number' from categories",
     "referee_id": "select 3 as referee, -1 as absent",
     "dataset_summary": _with(DET, IMAGES) + "select split, count(distinct i.id) as images, count(d.det_idx) as annotations, count(*) filter (where d.class_id = 4) as numbers, count(*) filter (where d.det_idx is null) as unlabelled from images i left join det d on d.image_id = i.id group by split",
@@ -238,24 +234,24 @@ from (select p.image_id, p.det_idx as p_idx, n.det_idx as n_idx, {_ios('p', 'n')
     "validated_final": _with(READS, VALIDATED) + "select r.tracker_id, r.frame_idx, l.value as validated from reads r left join locked l using (tracker_id)",
     "true_runs": _with(PATHS) + """select tracker_id, cast(row_number() over (partition by tracker_id order by min(frame_idx)) as int) as run_id, min(frame_idx) as first, max(frame_idx) as last, count(*) as length
 from (select *, n - row_number() over (partition by tracker_id order by frame_idx) as run from (select *, row_number() over (partition by tracker_id order by frame_idx) as n from path) where x > 60) group by tracker_id, run""",
-    "path_jumps": _with(PATHS, _jumps()) + f"select tracker_id, frame_idx, {_r('step')} as step, jump from jumps",
+    "path_jumps": _with(PATHS, _jumps()) + f"select tracker_id, frame_idx, step, jump from jumps",
     "path_short_runs": _with(PATHS, _jumps()) + "select tracker_id, frame_idx, jump, short from shorts",
     "path_padded_mask": _with(PATHS, _jumps()) + "select tracker_id, frame_idx, edited from edits",
-    "path_interpolate": _with(PATHS, _GAPS, _filled("gaps")) + f"select tracker_id, frame_idx, {_r('x')} as x from filled",
-    "path_smooth": _with(PATHS, _smooth("path")) + f"select tracker_id, frame_idx, {_r('x')} as x from smooth",
-    "path_clean": _with(PATHS, _jumps(), "edited_gaps as (select tracker_id, frame_idx, edited, case when not edited then x end as x from edits)", _filled("edited_gaps"), _smooth("filled")) + f"select tracker_id, frame_idx, edited, {_r('x')} as x from smooth",
+    "path_interpolate": _with(PATHS, _GAPS, _filled("gaps")) + f"select tracker_id, frame_idx, x from filled",
+    "path_smooth": _with(PATHS, _smooth("path")) + f"select tracker_id, frame_idx, x from smooth",
+    "path_clean": _with(PATHS, _jumps(), "edited_gaps as (select tracker_id, frame_idx, edited, case when not edited then x end as x from edits)", _filled("edited_gaps"), _smooth("filled")) + f"select tracker_id, frame_idx, edited, x from smooth",
     "path_slice": _with(PATHS) + "select tracker_id, frame_idx, frame_idx - 1 as t, x from path where tracker_id = 1",
     "keypoint_support": _with(KEYPOINTS) + "select frame_idx, count(*) as n from keypoints where confidence > 0.5 group by frame_idx having count(*) >= 4",
-    "vertex_match": _with(KEYPOINTS) + f"select frame_idx, kp_idx, {_r('x')} as x, {_r('y')} as y, cx, cy from keypoints where confidence > 0.5",
+    "vertex_match": _with(KEYPOINTS) + f"select frame_idx, kp_idx, x, y as y, cx, cy from keypoints where confidence > 0.5",
     "court_positions": _with(DET, KEYPOINTS, """support as (select frame_idx from keypoints where confidence > 0.5 group by frame_idx having count(*) >= 4
 ), placed as (select image_id, det_idx, (x1 + x2) / 2 as u, y2 as v, cast(image_id % 50 as double) as c from det join support on frame_idx = image_id where class_id in (1, 2)
-), terms as (select *, u / 1000 - 1 as a1, u / 500 - 0.1 as b1, c - u as r1, v / 1000 as a2, v / 500 - 0.9 as b2, 5 - v as r2 from placed)""") + f"select image_id, det_idx, {_r('(r1 * b2 - r2 * b1) / (a1 * b2 - a2 * b1)')} as court_x, {_r('(a1 * r2 - a2 * r1) / (a1 * b2 - a2 * b1)')} as court_y from terms",
-    "parse_yolo_lines": _with(_LINES, "parts as (select id, regexp_split_to_array(trim(value), '\\s+') as p from lines)") + f"select id, cast(p[1] as int) as class_id, {_r('cast(p[2] as double)')} as xc, {_r('cast(p[3] as double)')} as yc, {_r('cast(p[4] as double)')} as w, {_r('cast(p[5] as double)')} as h from parts where len(p) >= 5 and try_cast(p[1] as int) is not null",
+), terms as (select *, u / 1000 - 1 as a1, u / 500 - 0.1 as b1, c - u as r1, v / 1000 as a2, v / 500 - 0.9 as b2, 5 - v as r2 from placed)""") + f"select image_id, det_idx, round((r1 * b2 - r2 * b1) / (a1 * b2 - a2 * b1), 6) as court_x, round((a1 * r2 - a2 * r1) / (a1 * b2 - a2 * b1), 6) as court_y from terms",
+    "parse_yolo_lines": _with(_LINES, "parts as (select id, regexp_split_to_array(trim(value), '\\s+') as p from lines)") + f"select id, cast(p[1] as int) as class_id, cast(p[2] as double) as xc, cast(p[3] as double) as yc, cast(p[4] as double) as w, cast(p[5] as double) as h from parts where len(p) >= 5 and try_cast(p[1] as int) is not null",
     "rejected_yolo_lines": _with(_LINES, "parts as (select *, regexp_split_to_array(trim(value), '\\s+') as p from lines)") + "select id, value from parts where len(p) < 5 or try_cast(p[1] as int) is null",
     "path_parts": _with(IMAGES) + "select id, 'img_' || cast(id as varchar) as stem, '.jpg' as suffix, 'img_' || cast(id as varchar) || '.xml' as xml_name from images",
     "mask_boxes": _det("select image_id, det_idx, x1, y1, least(63.0::double, x2) as x2, least(47.0::double, y2) as y2, cast((least(63, x2) - x1 + 1) * (least(47, y2) - y1 + 1) as int) as area from det"),
-    "mask_overlap": _det(f"""select p.image_id, p.det_idx as p_idx, n.det_idx as n_idx, {_r("""(least(p.x2, n.x2, 63) - greatest(p.x1, n.x1) + 1) * (least(p.y2, n.y2, 47) - greatest(p.y1, n.y1) + 1)
-  / least((least(63, p.x2) - p.x1 + 1) * (least(47, p.y2) - p.y1 + 1), (least(63, n.x2) - n.x1 + 1) * (least(47, n.y2) - n.y1 + 1))""")} as ios
+    "mask_overlap": _det(f"""select p.image_id, p.det_idx as p_idx, n.det_idx as n_idx, (least(p.x2, n.x2, 63) - greatest(p.x1, n.x1) + 1) * (least(p.y2, n.y2, 47) - greatest(p.y1, n.y1) + 1)
+  / least((least(63, p.x2) - p.x1 + 1) * (least(47, p.y2) - p.y1 + 1), (least(63, n.x2) - n.x1 + 1) * (least(47, n.y2) - n.y1 + 1)) as ios
 from det p join det n on p.image_id = n.image_id where p.class_id in (1, 2) and n.class_id = 4 and p.x1 < n.x2 and n.x1 < p.x2 and p.y1 < n.y2 and n.y1 < p.y2"""),
     "draw_commands": _det("""select image_id, det_idx, 'box' as kind, x1 as x, y1 as y, x2 - x1 as w, y2 - y1 as h, ['#ff0000', '#00ff00', '#0000ff'][class_id % 3 + 1] as color, cast(null as varchar) as text, 0 as z from det
 union all select image_id, det_idx, 'label', (x1 + x2) / 2, y2, 0.0::double, 0.0::double, ['#ff0000', '#00ff00', '#0000ff'][class_id % 3 + 1], '#' || cast(class_id as varchar) || ' None', 2 from det"""),

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 from dataclasses import replace
 
 import numpy as np
@@ -63,6 +64,22 @@ def test_interpolation(spark):
     assert values(S.interpolated(path(spark, [None, None]))) == [None, None]
 
 
+def test_interpolation_of_a_long_track_is_linear_work(spark):
+    df = spark.range(100_000).selectExpr("1L as tracker_id", "cast(id as int) as frame_idx", "case when id % 100 = 0 then cast(id as double) end as x")
+    began = time.monotonic()
+    worst = S.interpolated(df, ("x",)).selectExpr("max(abs(x - least(frame_idx, 99900))) as d").first()["d"]
+    assert worst < 1e-6 and time.monotonic() - began < 15
+
+
+def test_nulls_are_no_reads_in_batch_and_stream(spark):
+    reads = [None, None, None, "7", None, "7", "7", "8", "8", "8"]
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(reads)], "tracker_id bigint, frame_idx int, value string")
+    (row,) = S.validated(df, 3).collect()
+    assert (row["value"], row["locked_at"]) == ("7", 6)
+    assert validate.step((None, 0, None, None), list(range(10)), reads, 3)[2:] == ("7", 6)
+    assert validate.step((None, 0, None, None), [0, 1], [float("nan"), None], 1) == (None, 0, None, None)
+
+
 def test_smoothing_keeps_a_parabola_and_short_tracks(spark):
     xs = [0.5 * k * k - k for k in range(15)]
     assert np.allclose(values(S.smoothed(path(spark, xs))), xs, atol=1e-9)
@@ -106,6 +123,24 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_idle_tracks_are_forgotten(spark, tmp_path):
+    """The state of a track that the watermark has passed is dropped: its next reads start a new streak."""
+    ddl = "tracker_id bigint, frame_idx int, value string"
+    for n, rows in enumerate([[(1, 0, "a"), (1, 1, "a")], [(2, 900, "b")], [(2, 901, "b")], [(1, 902, "a"), (2, 902, "b")]]):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / "in" / str(n)))
+
+    def run(idle, name):
+        stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        stream = validate.with_event_time(stream, "2025-01-01 00:00:00", 1.0)
+        out = validate.validated_stream(stream, 3, idle=idle)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return {r["tracker_id"] for r in spark.read.schema("tracker_id bigint, value string, locked_at int").parquet(str(tmp_path / name)).collect()}
+
+    assert run("60 seconds", "idle") == {2} and run("1 days", "kept") == {1, 2}
+
+
 def test_event_time_windows(spark):
     df = spark.createDataFrame([(k, 2) for k in range(40)], "frame_idx int, class_id int")
     got = validate.counts_by_window(validate.with_event_time(df, "2025-01-01 00:00:00", 2.0), "10 seconds")

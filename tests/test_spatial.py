@@ -121,6 +121,50 @@ def test_masks_round_trip_and_detached_parts(spark):
     assert [tuple(r) for r in same] == [(0, 6)]
 
 
+def _pixels(runs):
+    return {p for r in runs for p in range(r["start"], r["start"] + r["len"])}
+
+
+def _near_by_pixels(pixels, width, relative):
+    parts, left = [], set(pixels)
+    while left:
+        todo = [left.pop()]
+        part = set(todo)
+        while todo:
+            p = todo.pop()
+            for q in [q for q in left if abs(q % width - p % width) <= 1 and abs(q // width - p // width) <= 1]:
+                left.remove(q)
+                part.add(q)
+                todo.append(q)
+        parts.append(part)
+    parts.sort(key=lambda p: (-len(p), min(p)))
+    x, y = [p % width for p in pixels], [p // width for p in pixels]
+    limit = relative * np.hypot(max(x) - min(x) + 1, max(y) - min(y) + 1)
+    gap = lambda a, b: min(np.hypot(p % width - q % width, p // width - q // width) for p in a for q in b)
+    return set().union(*[p for p in parts if p is parts[0] or gap(parts[0], p) <= limit])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_detached_parts_equal_a_search_by_pixel(seed):
+    r = np.random.default_rng(seed)
+    width = 12
+    on = r.random(width * 10) < (0.25, 0.5)[seed % 2]
+    runs = [{"start": int(p), "len": int(n)} for p, n in [(p, 1) for p in np.flatnonzero(on)]]
+    kept = M.keep_near_segments(runs, width, 0.15)
+    assert _pixels(kept) == _near_by_pixels(set(np.flatnonzero(on).tolist()), width, 0.15)
+    assert all(r["start"] // width == (r["start"] + r["len"] - 1) // width for r in kept)
+    assert len(_pixels(M.keep_near_segments([{"start": 5, "len": 100}], width, 0.1))) == 100  # a run that wraps rows
+
+
+def test_mask_intersection_equals_sets(spark):
+    r = np.random.default_rng(4)
+    made = lambda: [(int(a), int(b - a)) for a, b in np.sort(r.choice(60, (1, 8), False)).reshape(-1, 2)][: r.integers(0, 5)]
+    rows = [(k, made(), made()) for k in range(60)]
+    got = spark.createDataFrame(rows, f"k int, a {M.RUNS}, b {M.RUNS}").select("k", M.mask_intersection(F.col("a"), F.col("b")).alias("n"))
+    sets = lambda m: {p for s, n in m for p in range(s, s + n)}
+    assert {r["k"]: r["n"] for r in got.collect()} == {k: len(sets(a) & sets(b)) for k, a, b in rows}
+
+
 def test_filters(spark):
     df = boxes(spark, (1, 1, 1, 0.4, (0, 0, 10, 10)), (1, 2, 2, 0.5, (0, 0, 11, 10)), (1, 3, 4, 0.6, (0, 0, 1, 1)))
     assert ids(filters.confident(df, 0.4)) == [2, 3]
