@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,62 +56,88 @@ def mask_overlap(a: Column, b: Column, metric: str = "ios") -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def _row_runs(runs: list, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(y, first x, last x) of the longest runs within rows, in order."""
-    start = np.array([r["start"] for r in runs], np.int64)
-    last = start + np.array([r["len"] for r in runs], np.int64) - 1
-    keep = last >= start
-    start, last = start[keep], last[keep]
+def _row_runs(mask: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(mask, y, first x, last x) of the longest runs within rows, in order of mask and place."""
+    mask, start, size = (a[size > 0] for a in (mask, start.astype(np.int64), size))
+    last = start + size - 1
     rows = last // width - start // width + 1
-    y = np.repeat(start // width, rows) + np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
-    lo, hi = np.maximum(np.repeat(start, rows), y * width), np.minimum(np.repeat(last, rows), y * width + width - 1)
-    order = np.argsort(lo, kind="stable")
-    y, lo, hi = y[order], lo[order], np.maximum.accumulate(hi[order])
-    new = np.flatnonzero(np.append(True, (lo[1:] > hi[:-1] + 1) | (y[1:] != y[:-1]))) if len(lo) else np.arange(0)
-    return y[new], lo[new] % width, np.maximum.reduceat(hi, new) % width if len(new) else new
-
-
-def _parts(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int) -> np.ndarray:
-    """The number of each run's connected part, diagonal neighbours included: union-find over runs of neighbouring rows."""
-    parent = list(range(len(y)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    first = np.searchsorted(y * width + x1, (y + 1) * width + np.maximum(x0 - 1, 0))
-    end = np.searchsorted(y * width + x0, (y + 1) * width + np.minimum(x1 + 1, width - 1), side="right")
-    for k, (lo, hi) in enumerate(zip(first.tolist(), end.tolist())):
-        for other in range(lo, hi):
-            parent[root(other)] = root(k)
-    return np.unique([root(k) for k in range(len(y))], return_inverse=True)[1]
+    again = lambda a: np.repeat(a, rows)
+    y = again(start // width) + np.arange(rows.sum()) - again(np.cumsum(rows) - rows)
+    lo, hi, mask = np.maximum(again(start), y * width), np.minimum(again(last), y * width + width - 1), again(mask)
+    order = np.lexsort((lo, mask))
+    mask, y, lo, hi = mask[order], y[order], lo[order], hi[order]
+    if not len(lo):
+        return mask, y, lo, hi
+    far = mask * (hi.max() + 2)  # masks one after the other, so that the greatest end so far never reaches into the next
+    hi = np.maximum.accumulate(hi + far) - far
+    new = np.flatnonzero(np.append(True, (lo[1:] > hi[:-1] + 1) | (y[1:] != y[:-1]) | (mask[1:] != mask[:-1])))
+    return mask[new], y[new], lo[new] % width, np.maximum.reduceat(hi, new) % width
+
+
+def _parts(mask: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int) -> np.ndarray:
+    """Each run's connected part, by the number of the part's first run; diagonal neighbours are connected."""
+    row = mask * (y.max(initial=0) + 2) + y
+    first = np.searchsorted(row * width + x1, (row + 1) * width + np.maximum(x0 - 1, 0))
+    end = np.searchsorted(row * width + x0, (row + 1) * width + np.minimum(x1 + 1, width - 1), side="right")
+    touched = np.maximum(end - first, 0)
+    a = np.repeat(np.arange(len(y)), touched)
+    b = np.repeat(first, touched) + np.arange(len(a)) - np.repeat(np.cumsum(touched) - touched, touched)
+    label = np.arange(len(y))
+    while True:  # the lesser label of both ends, then that label's own, until all agree
+        least = np.minimum(label[a], label[b])
+        now = label.copy()
+        np.minimum.at(now, label[a], least)
+        np.minimum.at(now, label[b], least)
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
+
+
+def near_segments(mask: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, relative_distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mask, start, size) of the runs that stay, of many masks at once.
+
+    Of each mask stay the largest connected part (of equally large ones the first) and each part whose edge is within that
+    share of the mask's diagonal of it.
+    """
+    mask, y, x0, x1 = _row_runs(mask, start, size, width)
+    if not len(mask):
+        return mask, y, x0
+    part = _parts(mask, y, x0, x1, width)
+    pixels = np.bincount(part, x1 - x0 + 1, len(part))[part]
+    best = np.lexsort((part, -pixels, mask))
+    main = part[best[np.unique(mask[best], return_index=True)[1]]]
+    kept = part == np.repeat(main, np.unique(mask, return_counts=True)[1])
+    begins = np.flatnonzero(np.append(True, mask[1:] != mask[:-1]))
+    for lo, hi in zip(begins, np.append(begins[1:], len(mask))):
+        own = kept[lo:hi].copy()
+        if own.all():
+            continue
+        a, b, v, p = x0[lo:hi], x1[lo:hi], y[lo:hi], part[lo:hi]
+        limit = relative_distance * float(np.hypot(b.max() - a.min() + 1, v.max() - v.min() + 1))
+        gap = np.maximum(0, np.maximum(a[~own][:, None] - b[own], a[own] - b[~own][:, None]))
+        near = np.hypot(gap, v[~own][:, None] - v[own]).min(1) <= limit
+        kept[lo:hi] = own | np.isin(p, p[~own][near])
+    return mask[kept], (y * width + x0)[kept], (x1 - x0 + 1)[kept]
 
 
 def keep_near_segments(runs: list, width: int, relative_distance: float) -> list:
-    """The largest connected part, and each part whose edge is within that share of the mask's diagonal of it."""
-    y, x0, x1 = _row_runs(runs, width) if runs else ((), (), ())
-    if not len(y):
-        return []
-    part = _parts(y, x0, x1, width)
-    limit = relative_distance * float(np.hypot(x1.max() - x0.min() + 1, y.max() - y.min() + 1))
-    # Of equally large ones, the one that begins first.
-    main = max(range(part.max() + 1), key=lambda p: ((x1 - x0 + 1)[part == p].sum(), -np.flatnonzero(part == p)[0]))
-    own = part == main
-    kept = own.copy()
-    for p in range(part.max() + 1):
-        other = part == p
-        gap = np.maximum(0, np.maximum(x0[other][:, None] - x1[own], x0[own] - x1[other][:, None]))
-        kept |= other & (np.hypot(gap, y[other][:, None] - y[own]).min() <= limit)
-    return [{"start": int(a), "len": int(n)} for a, n in zip((y * width + x0)[kept], (x1 - x0 + 1)[kept])]
+    """``near_segments`` of one mask, as a list of runs."""
+    start, size = (np.array([r[f] for r in runs], np.int64) for f in ("start", "len"))
+    _, start, size = near_segments(np.zeros(len(runs), np.int64), start, size, width, relative_distance)
+    return [{"start": int(a), "len": int(n)} for a, n in zip(start, size)]
 
 
 def filter_segments(width: int, relative_distance: float = 0.03):
-    """A column function that drops detached parts of masks; connected parts have no SQL, so it runs over Arrow."""
-
-    @F.pandas_udf(RUNS)
-    def of(masks: pd.Series) -> pd.Series:
-        return masks.map(lambda m: None if m is None else keep_near_segments(list(m), width, relative_distance))
+    """A column function that drops detached parts of masks; connected parts have no SQL, so it runs over Arrow, a batch at once."""
+
+    @F.arrow_udf(RUNS)
+    def of(masks: pa.Array) -> pa.Array:
+        runs = masks.flatten()
+        held = np.repeat(np.arange(len(masks)), pc.fill_null(pc.list_value_length(masks), 0).to_numpy())
+        mask, start, size = near_segments(held, runs.field("start").to_numpy(), runs.field("len").to_numpy(), width, relative_distance)
+        offsets = np.append(0, np.cumsum(np.bincount(mask, minlength=len(masks)))).astype(np.int32)
+        kept = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], names=["start", "len"])
+        return pa.ListArray.from_arrays(pa.array(offsets), kept, mask=masks.is_null())
 
     return of

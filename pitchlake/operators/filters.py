@@ -47,6 +47,29 @@ def numbered(df: DataFrame, keys: Sequence[str] = ("image_id",), order: str = "d
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(order)))
 
 
+def of_team(df: DataFrame, team_id: int) -> DataFrame:
+    return df.where(F.col("team_id") == team_id)
+
+
+def head(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The first n rows in an order: of the table, or of each group."""
+    if not keys:
+        return df.orderBy(*order).limit(n)
+    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+
+
+def until_first(df: DataFrame, found: Column, keys: Sequence[str] = ("video_id",), frame: str = "frame_idx") -> DataFrame:
+    """The rows of each group up to and with the first frame where something is found; all of them where nothing is."""
+    first = F.min(F.when(found, F.col(frame))).over(W.partitionBy(*keys))
+    return df.withColumn("_first", first).where(F.col("_first").isNull() | (F.col(frame) <= F.col("_first"))).drop("_first")
+
+
+def sampled(df: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:
+    """k rows without replacement, fewer where there are fewer: those of the least hashes of seed and key."""
+    draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
+    return df.withColumn("_draw", draw).orderBy("_draw", key).limit(k).drop("_draw")
+
+
 def require(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"no {what}")

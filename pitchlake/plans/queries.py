@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +13,20 @@ from ..functions import masks as M
 from ..functions import text as X
 from ..operators import annotations as A
 from ..operators import drawing, filters, identity, sequence, spatial, teams
+from ..operators.lineage import checkpoint_folder
 from ..schemas import BOX, DEFAULTS
 from ..sources import files
 from ..sources import views as V
-from ..streaming import tracker
+from ..streaming import identity as loop
+from ..streaming import tracker, validate
 
-#: A lower jump sigma than the default finds enough jumps in the one-dimensional stand-in path to compare.
-PATH = replace(DEFAULTS, jump_sigma=1.5)
 #: Frames of one video in the stand-in relations.
 VIDEO_FRAMES = 500
 FRAME = (64, 48)
+#: Crops of the stand-in classifier that players' boxes are spread over.
+CROPS = 500
+#: Lines between vertices of the stand-in court.
+EDGES = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 0)]
 JERSEY_CATEGORY = 5
 ONE = ("x",)
 #: Decimals of what is fitted by least squares; all else is compared as it is.
@@ -293,18 +297,18 @@ def true_runs(spark, d):
 
 @query
 def path_jumps(spark, d):
-    return sequence.jumps(V.paths(spark, d), PATH, ONE).select("tracker_id", "frame_idx", "step", "jump")
+    return sequence.jumps(V.paths(spark, d), coords=ONE).select("tracker_id", "frame_idx", "step", "jump")
 
 
 @query
 def path_short_runs(spark, d):
-    return sequence.short_runs(sequence.jumps(V.paths(spark, d), PATH, ONE), PATH).select("tracker_id", "frame_idx", "jump", "short")
+    return sequence.short_runs(sequence.jumps(V.paths(spark, d), coords=ONE)).select("tracker_id", "frame_idx", "jump", "short")
 
 
 @query
 def path_padded_mask(spark, d):
-    got = sequence.short_runs(sequence.jumps(V.paths(spark, d), PATH, ONE), PATH)
-    return sequence.padded_mask(got, PATH).select("tracker_id", "frame_idx", "edited")
+    got = sequence.short_runs(sequence.jumps(V.paths(spark, d), coords=ONE))
+    return sequence.padded_mask(got).select("tracker_id", "frame_idx", "edited")
 
 
 @query
@@ -320,7 +324,7 @@ def path_smooth(spark, d):
 
 @query
 def path_clean(spark, d):
-    return sequence.cleaned(V.paths(spark, d), PATH, ONE).select("tracker_id", "frame_idx", "edited", "x")
+    return sequence.cleaned(V.paths(spark, d), coords=ONE).select("tracker_id", "frame_idx", "edited", "x")
 
 
 @query
@@ -417,7 +421,7 @@ def coco_json(spark, d):
 
 @query
 def random_sample(spark, d):
-    return V.images(spark, d).orderBy(F.rand(3), "id").limit(10)
+    return filters.sampled(V.images(spark, d), 10, "id", 3).select("id", "split", "file_name")
 
 
 @query
@@ -438,9 +442,20 @@ def track_propagate(spark, d):
 def _identity(spark, d, mode):
     frames = _frames(spark, d)
     players = filters.numbered(filters.of_classes(frames, DEFAULTS.player_classes))
-    numbers = filters.of_class(frames, DEFAULTS.number_class).withColumn("value", (F.col("x1").cast("int") % 3).cast("string"))
-    team_of = players.select("video_id", "tracker_id").distinct().withColumn("team_id", F.col("tracker_id") % 2)
-    return identity.identify(players, numbers, team_of, V.rosters(spark, d), replace(DEFAULTS, match_overlap=0.5), mode)
+    numbers = filters.of_class(frames, DEFAULTS.number_class).withColumn("value", _read_value())
+    return identity.identify(players, numbers, teams.lock_teams(_team_crops(spark, d, players)), V.rosters(spark, d), mode=mode)
+
+
+def _read_value():
+    """What the stand-in reader says of a number's box."""
+    return (F.col("x1").cast("int") % 3).cast("string")
+
+
+def _team_crops(spark, d, players):
+    """The stand-in classifier's team for each player's crop."""
+    crops = V.crops(spark, d).select("vec_id", (F.col("label") % 2).alias("team_id"))
+    at = players.select("video_id", "tracker_id", "frame_idx", F.pmod(F.col("image_id") * 7 + F.col("det_idx"), F.lit(CROPS)).alias("vec_id"))
+    return at.join(crops, "vec_id")
 
 
 @query
@@ -451,7 +466,107 @@ def court_paths(spark, d):
     players = filters.numbered(filters.of_classes(_frames(spark, d), DEFAULTS.player_classes))
     at = players.select("video_id", F.col("frame_idx").alias("frame"), "tracker_id", F.col("image_id").alias("frame_idx"), x.alias("x"), y.alias("y"))
     court = spatial.to_court(at, matrices).select("video_id", "tracker_id", "frame", F.col("court_x").alias("x"), F.col("court_y").alias("y"))
-    return sequence.cleaned(court, keys=("video_id", "tracker_id"), order="frame")
+    got = sequence.cleaned(court, keys=("video_id", "tracker_id"), order="frame")
+    return got.withColumns({c: F.round(c, FITTED) for c in "xy"}).select("video_id", "tracker_id", "frame", "x", "y", "edited")
+
+
+@query
+def team_lock(spark, d):
+    return teams.lock_teams(_team_crops(spark, d, filters.numbered(filters.of_classes(_frames(spark, d), DEFAULTS.player_classes))))
+
+
+@query
+def team_partition(spark, d):
+    """The first team's boxes, as the team lock has it."""
+    players = filters.numbered(filters.of_classes(_frames(spark, d), DEFAULTS.player_classes))
+    locked = teams.lock_teams(_team_crops(spark, d, players))
+    return filters.of_team(players.join(locked, ["video_id", "tracker_id"]), 0).select("image_id", "det_idx", "tracker_id")
+
+
+@query
+def best_pairs(spark, d):
+    return filters.head(spatial.match(*_players_numbers(spark, d), 0.5), 2, ("pair_rank",), ("image_id",)).select("image_id", "p_idx", "n_idx")
+
+
+@query
+def head_slice(spark, d):
+    return filters.head(V.images(spark, d), 100, ("id",)).select("id", "file_name")
+
+
+@query
+def early_stop(spark, d):
+    """Each video's boxes up to the first frame with a number on it."""
+    return filters.until_first(_frames(spark, d), F.col("class_id") == DEFAULTS.number_class).select("video_id", "frame_idx", "det_idx", "class_id")
+
+
+@query
+def video_metadata(spark, d):
+    """Container metadata with the size that the output takes."""
+    return V.videos(spark, d, VIDEO_FRAMES).withColumns({"width": F.lit(FRAME[0]), "height": F.lit(FRAME[1]), "seconds": F.col("frames") / F.col("fps")})
+
+
+@query
+def court_lines(spark, d):
+    return drawing.court_commands(V.court_vertices(spark), EDGES, "#ffffff")
+
+
+@query
+def team_draw_commands(spark, d):
+    """Boxes in the color of their track's team, a lookup of one's own."""
+    players = filters.numbered(filters.of_classes(_frames(spark, d), DEFAULTS.player_classes))
+    players = players.join(teams.lock_teams(_team_crops(spark, d, players)), ["video_id", "tracker_id"])
+    colors = [c for _, c in V.COLORS.values()]
+    return drawing.box_commands(players, colors, by=F.col("team_id")).select("image_id", "det_idx", "kind", "x", "y", "w", "h", "color")
+
+
+@query
+def labelled_images(spark, d):
+    """Every image with the rows of its label file; images without one stay."""
+    labels = V.detections(spark, d).join(V.images(spark, d).select(F.col("id").alias("image_id"), "split", X.stem(F.col("file_name")).alias("stem")), "image_id")
+    return A.with_labels(V.images(spark, d), labels.select("split", "stem", "class_id", "det_idx")).select("id", "file_name", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("class_id", "det_idx")])
+
+
+@query
+def near_segments(spark, d):
+    """Masks of a box and a detached part each, without the parts that lie too far from the box."""
+    x1, y1, x2, y2 = G.box()
+    width, height = 256, 128
+    far = F.struct(((y2.cast("int") + 3 + (F.col("image_id") % 9).cast("int")) * width + x1.cast("int")).alias("start"), F.lit(2).alias("len"))
+    got = V.detections(spark, d).withColumn("mask", F.concat(M.box_to_mask(*G.box(), width, height), F.array(far).cast(M.RUNS)))
+    return got.select("image_id", "det_idx", M.mask_area(M.filter_segments(width, 0.05)("mask")).alias("area"))
+
+
+@query
+def mask_identity_pairs(spark, d):
+    """Numbers on players by their masks: intersection over the smaller one above the match threshold."""
+    return mask_overlap(spark, d).where(F.col("ios") > DEFAULTS.match_overlap)
+
+
+def _streamed(spark, d, name, df, of, schema):
+    """The rows that a streaming query gives over the rows of ``df``, written and read again as a stream."""
+    base = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{base}/in")
+    q = of(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+@query
+def validated_stream(spark, d):
+    """Consecutive reads of one value on a track, as a stateful stream."""
+    fields = "tracker_id bigint, value string, locked_at int"
+    return _streamed(spark, d, "reads", V.reads(spark, d), lambda s: validate.validated_stream(s, DEFAULTS.number_streak), fields)
+
+
+@query
+def identity_stream(spark, d):
+    """The per-frame loop as a stream: every fifth frame is read, the rest carry what has locked by then."""
+    frames = filters.of_classes(_frames(spark, d), (*DEFAULTS.player_classes, DEFAULTS.number_class))
+    player = F.col("class_id").isin(list(DEFAULTS.player_classes))
+    frames = filters.numbered(frames.withColumn("_p", player), ("image_id", "_p")).withColumns({"tracker_id": F.when(player, F.col("tracker_id")), "value": F.when(~player, _read_value())})
+    boxes = frames.select("video_id", "frame_idx", "det_idx", "class_id", "tracker_id", "value", *BOX)
+    return _streamed(spark, d, "frames", boxes, loop.identify_stream, f"video_id bigint, {loop.OUTPUT}")
 
 
 @query

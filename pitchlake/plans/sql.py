@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..operators.sequence import smoothing_weights
 
 DET = """det as (
@@ -92,13 +94,13 @@ VALIDATED = _streaks("reads", "tracker_id", "frame_idx") + """, locked as (
 )"""
 
 JUMPS = """stepped as (
-  select *, abs(x - lag(x) over (partition by tracker_id order by frame_idx)) as step from path
+  select *, {step} as step from path
 ), mid as (
   select *, median(step) over (partition by tracker_id) as m from stepped
 ), dev as (
   select *, median(abs(step - m)) over (partition by tracker_id) as mad from mid
 ), jumps as (
-  select tracker_id, frame_idx, x, step, coalesce(step > greatest(0.6, m + {sigma} * mad), false) as jump from dev
+  select tracker_id, frame_idx, {columns}, step, coalesce(step > greatest(0.6, m + {sigma} * mad), false) as jump from dev
 ), numbered as (
   select *, row_number() over (partition by tracker_id order by frame_idx) - sum(jump::int) over (partition by tracker_id order by frame_idx) as run from jumps
 ), shorts as (
@@ -108,8 +110,12 @@ JUMPS = """stepped as (
 )"""
 
 
-def _jumps(sigma: float = 1.5) -> str:
-    return JUMPS.format(sigma=repr(sigma * 1.4826))
+STEP_1D = "abs(x - lag(x) over (partition by tracker_id order by frame_idx))"
+STEP_2D = "sqrt(0.0::double + pow(x - lag(x) over (partition by tracker_id order by frame_idx), 2) + pow(y - lag(y) over (partition by tracker_id order by frame_idx), 2))"
+
+
+def _jumps(step: str = STEP_1D, sigma: float = 3.5, columns: str = "x") -> str:
+    return JUMPS.format(sigma=repr(sigma * 1.4826), step=step, columns=columns)
 
 
 def _filled(source: str) -> str:
@@ -153,7 +159,7 @@ def _det(select: str) -> str:
 
 VIDEO = "cast(floor(image_id / 500) as bigint)"
 FRAMES = f"""players as (
-  select {VIDEO} as video_id, image_id % 500 as frame_idx, det_idx, x1, y1, x2, y2,
+  select image_id, {VIDEO} as video_id, image_id % 500 as frame_idx, det_idx, x1, y1, x2, y2,
          cast(row_number() over (partition by image_id order by det_idx) as int) as tracker_id
   from det where class_id in (1, 2)
 ), numbers as (
@@ -163,7 +169,12 @@ FRAMES = f"""players as (
   select p.video_id, p.frame_idx, p.tracker_id, n.value,
          row_number() over (partition by p.video_id, p.frame_idx order by {_ios('p', 'n')} desc, p.det_idx, n.det_idx) as pair_rank
   from players p join numbers n on p.video_id = n.video_id and p.frame_idx = n.frame_idx
-  where p.frame_idx % 5 = 0 and {_ios('p', 'n')} > 0.5
+  where p.frame_idx % 5 = 0 and {_ios('p', 'n')} > 0.9
+), crop_teams as (
+  select p.video_id, p.tracker_id, p.frame_idx, e.label % 2 as team_id
+  from players p join embeddings e on e.vec_id = (p.image_id * 7 + p.det_idx) % 500
+), team_of as (
+  select video_id, tracker_id, min_by(team_id, frame_idx) as team_id from crop_teams group by all
 )"""
 
 
@@ -172,10 +183,11 @@ def _identity(mode: str) -> str:
     return _with(DET, ROSTERS, FRAMES, _streaks("matched", "video_id, tracker_id", "frame_idx, pair_rank"), """locked as (
   select video_id, tracker_id, min_by(value, frame_idx * 1000000 + pair_rank) as value, min(frame_idx) as locked_at from streaks where streak = 3 group by all
 )""", f"""named as (
-  select p.video_id, p.frame_idx, p.det_idx, p.tracker_id, p.tracker_id % 2 as team_id, {number} as number
+  select p.video_id, p.frame_idx, p.det_idx, p.tracker_id, t.team_id, {number} as number
   from players p left join locked l on p.video_id = l.video_id and p.tracker_id = l.tracker_id
+  left join team_of t on p.video_id = t.video_id and p.tracker_id = t.tracker_id
   where {_area('p')} > 100
-)""") + "select n.*, r.player, '#' || coalesce(n.number, 'None') || ' ' || coalesce(r.player, 'None') as label from named n left join rosters r on n.team_id = r.team_id and n.number = r.number"
+)""") + "select n.*, r.player, case when n.team_id is not null then '#' || coalesce(n.number, 'None') || ' ' || coalesce(r.player, 'None') end as label from named n left join rosters r on n.team_id = r.team_id and n.number = r.number"
 
 
 _MERGED = """merged as (
@@ -188,6 +200,53 @@ _TRUTH_IDS = "row_number() over (order by m.image_id, m.origin, m.seq) - 1"
 _LINES = "lines as (select o_orderkey as id, case when o_orderkey % 11 = 0 then '' when o_orderkey % 7 = 0 then '1 0.5 0.5' when o_orderkey % 13 = 0 then 'x 0.1 0.2 0.3 0.4' else concat('  ', o_orderkey % 5, ' 0.', o_orderkey % 10, ' 0.5  0.25 0.', o_orderkey % 9, ' ') end as value from orders)"
 _GAPS = "gaps as (select tracker_id, frame_idx, case when frame_idx % 7 not in (3, 4) then x end as x from path)"
 
+MASK_OVERLAP = _det(f"""select p.image_id, p.det_idx as p_idx, n.det_idx as n_idx, (least(p.x2, n.x2, 63) - greatest(p.x1, n.x1) + 1) * (least(p.y2, n.y2, 47) - greatest(p.y1, n.y1) + 1)
+  / least((least(63, p.x2) - p.x1 + 1) * (least(47, p.y2) - p.y1 + 1), (least(63, n.x2) - n.x1 + 1) * (least(47, n.y2) - n.y1 + 1)) as ios
+from det p join det n on p.image_id = n.image_id where p.class_id in (1, 2) and n.class_id = 4 and p.x1 < n.x2 and n.x1 < p.x2 and p.y1 < n.y2 and n.y1 < p.y2""")
+
+
+def _filled_2d(source: str) -> str:
+    """Both coordinates of a source filled and smoothed one after the other: CTEs fx, sx, fy, sy."""
+    own = lambda c: f"src_{c} as (select tracker_id, frame_idx, {c} as x from {source})"
+    out = []
+    for c in "xy":
+        text = ",\n".join([own(c), _filled(f"src_{c}"), _smooth("filled")])
+        for name in ("numbered_gaps", "ends", "filled", "windows", "tails", "smooth"):
+            text = re.sub(rf"\b{name}\b", f"{name}_{c}", text)
+        out.append(text)
+    return ",\n".join(out)
+
+
+def _court_paths() -> str:
+    """Both coordinates of the players' positions on the court, cleaned; a track is a video and a number in it."""
+    return _with(DET, KEYPOINTS, """support as (select frame_idx from keypoints where confidence > 0.5 group by frame_idx having count(*) >= 4
+), placed as (select image_id, (x1 + x2) / 2 as u, y2 as v, cast(image_id % 50 as double) as c, cast(row_number() over (partition by image_id order by det_idx) as int) as nth
+  from det where class_id in (1, 2)
+), terms as (select *, u / 1000 - 1 as a1, u / 500 - 0.1 as b1, c - u as r1, v / 1000 as a2, v / 500 - 0.9 as b2, 5 - v as r2 from placed join support on frame_idx = image_id
+), path as (select cast(floor(image_id / 500) as bigint) * 1000 + nth as tracker_id, image_id % 500 as frame_idx,
+  (r1 * b2 - r2 * b1) / (a1 * b2 - a2 * b1) as x, (a1 * r2 - a2 * r1) / (a1 * b2 - a2 * b1) as y from terms)""",
+        _jumps(STEP_2D, columns="x, y"), "gaps2 as (select tracker_id, frame_idx, case when not edited then x end as x, case when not edited then y end as y from edits)",
+        _filled_2d("gaps2")) + """select cast(floor(e.tracker_id / 1000) as bigint) as video_id, cast(e.tracker_id % 1000 as int) as tracker_id, e.frame_idx as frame,
+  round(a.x, 6) as x, round(b.x, 6) as y, e.edited
+from edits e join smooth_x a on a.tracker_id = e.tracker_id and a.frame_idx = e.frame_idx join smooth_y b on b.tracker_id = e.tracker_id and b.frame_idx = e.frame_idx"""
+
+
+def _coco() -> str:
+    """The document as text, built section by section."""
+    number = lambda v: f"cast({v} as varchar)"
+    image = f"""'{{"id":' || {number('id')} || ',"file_name":"' || file_name || '","width":1280,"height":720,"license":null,"date_captured":null}}'"""
+    one = f"""'{{"id":' || {number('id')} || ',"image_id":' || {number('image_id')} || ',"category_id":' || {number('category_id')} || ',"bbox":[' || {number('x')} || ',' || {number('y')} || ',' || {number('w')} || ',' || {number('h')} || '],"area":' || {number('area')}
+  || ',"segmentation":[],"iscrowd":0' || case when score is null then '' else ',"score":' || {number('score')} end || '}}'"""
+    category = """'{"id":' || cast(id as varchar) || ',"name":"' || name || '","supercategory":"none"}'"""
+    base = SQL_MERGED
+    return f"""with images as (select * from ({_with(IMAGES)} select * from images)), merged_ids as ({base}),
+cats as ({_with(CATEGORIES)} select id, name from categories union all select cast(count(*) as int), 'jersey number' from categories)
+select '{{"info":{{"description": "merged annotations", "date_created": "2025-11-21"}},"licenses":[],"images":[' || (select string_agg({image}, ',' order by id) from images)
+ || '],"annotations":[' || (select string_agg({one}, ',' order by id) from merged_ids) || '],"categories":[' || (select string_agg({category}, ',' order by id) from cats) || ']}}' as json"""
+
+
+SQL_MERGED = _with(DET, _JERSEY, _nms("jersey", 0.25), PREDICTED, _MERGED, recursive=True) + f"select {_TRUTH_IDS} as id, m.image_id, m.origin, m.seq, m.category_id, m.x, m.y, m.w, m.h, m.w * m.h as area, m.score from merged m"
+
 SQL: dict[str, str] = {
     "class_filter": _det(f"select {BOXES} from det where class_id = 4"),
     "class_in_filter": _det(f"select {BOXES} from det where class_id in (1, 2)"),
@@ -221,7 +280,7 @@ from (select p.image_id, p.det_idx as p_idx, n.det_idx as n_idx, {_ios('p', 'n')
     "file_last_wins": _with(IMAGES) + "select 'img_' || cast(id % 1000 as varchar) || '.jpg' as file_name, max(id) as id, max_by(split, id) as split from images group by all",
     "split_first_match": _with(IMAGES) + "select 'img_' || cast(id % 1000 as varchar) || '.jpg' as file_name, min_by(split, case split when 'train' then 1 when 'valid' then 2 else 3 end) as split from images group by all",
     "sequential_ids": _with(IMAGES) + "select id as source_id, row_number() over (order by case split when 'train' then 1 when 'valid' then 2 else 3 end, file_name) - 1 as id from images",
-    "merged_annotations": _with(DET, _JERSEY, _nms("jersey", 0.25), PREDICTED, _MERGED, recursive=True) + f"select {_TRUTH_IDS} as id, m.image_id, m.origin, m.seq, m.category_id, m.x, m.y, m.w, m.h, m.w * m.h as area, m.score from merged m",
+    "merged_annotations": SQL_MERGED,
     "basic_annotations": _with(DET, "predicted as (select * from det where class_id = 4 and confidence > 0.3)", _MERGED) + f"select {_TRUTH_IDS} as id, m.image_id, m.origin, m.seq, m.category_id, m.x, m.y, m.w, m.h, m.w * m.h as area, m.score from merged m",
     "score_labels": _with(DET, CATEGORIES) + "select image_id, det_idx, format('{} {:.2f}', name, confidence) as label from det join categories c on c.id = det.class_id",
     "class_difference": "select p_partkey as part, '2' as classes from part",
@@ -250,14 +309,31 @@ from (select *, n - row_number() over (partition by tracker_id order by frame_id
     "rejected_yolo_lines": _with(_LINES, "parts as (select *, regexp_split_to_array(trim(value), '\\s+') as p from lines)") + "select id, value from parts where len(p) < 5 or try_cast(p[1] as int) is null",
     "path_parts": _with(IMAGES) + "select id, 'img_' || cast(id as varchar) as stem, '.jpg' as suffix, 'img_' || cast(id as varchar) || '.xml' as xml_name from images",
     "mask_boxes": _det("select image_id, det_idx, x1, y1, least(63.0::double, x2) as x2, least(47.0::double, y2) as y2, cast((least(63, x2) - x1 + 1) * (least(47, y2) - y1 + 1) as int) as area from det"),
-    "mask_overlap": _det(f"""select p.image_id, p.det_idx as p_idx, n.det_idx as n_idx, (least(p.x2, n.x2, 63) - greatest(p.x1, n.x1) + 1) * (least(p.y2, n.y2, 47) - greatest(p.y1, n.y1) + 1)
-  / least((least(63, p.x2) - p.x1 + 1) * (least(47, p.y2) - p.y1 + 1), (least(63, n.x2) - n.x1 + 1) * (least(47, n.y2) - n.y1 + 1)) as ios
-from det p join det n on p.image_id = n.image_id where p.class_id in (1, 2) and n.class_id = 4 and p.x1 < n.x2 and n.x1 < p.x2 and p.y1 < n.y2 and n.y1 < p.y2"""),
+    "mask_overlap": MASK_OVERLAP,
+    "mask_identity_pairs": f"select * from ({MASK_OVERLAP}) where ios > 0.9",
     "draw_commands": _det("""select image_id, det_idx, 'box' as kind, x1 as x, y1 as y, x2 - x1 as w, y2 - y1 as h, ['#ff0000', '#00ff00', '#0000ff'][class_id % 3 + 1] as color, cast(null as varchar) as text, 0 as z from det
 union all select image_id, det_idx, 'label', (x1 + x2) / 2, y2, 0.0::double, 0.0::double, ['#ff0000', '#00ff00', '#0000ff'][class_id % 3 + 1], '#' || cast(class_id as varchar) || ' None', 2 from det"""),
     "voc_xml": _with(DET, IMAGES, CATEGORIES) + """select i.id, i.file_name, '<annotation>' || chr(10) || '    <filename>' || i.file_name || '</filename>' || chr(10) || '    <size>' || chr(10) || '        <width>1280</width>' || chr(10) || '        <height>720</height>' || chr(10) || '        <depth>3</depth>' || chr(10) || '    </size>' || chr(10)
  || coalesce(string_agg('    <object>' || chr(10) || '        <name>' || name || '</name>' || chr(10) || '        <bndbox>' || chr(10) || '            <xmin>' || cast(x1 as int) || '</xmin>' || chr(10) || '            <ymin>' || cast(y1 as int) || '</ymin>' || chr(10) || '            <xmax>' || cast(x2 as int) || '</xmax>' || chr(10) || '            <ymax>' || cast(y2 as int) || '</ymax>' || chr(10) || '        </bndbox>' || chr(10) || '    </object>', chr(10) order by det_idx) || chr(10), '') || '</annotation>' as xml
 from images i left join det d on d.image_id = i.id left join categories c on c.id = d.class_id group by i.id, i.file_name""",
+    "court_paths": _court_paths(),
+    "team_lock": _with(DET, ROSTERS, FRAMES) + "select * from team_of",
+    "team_partition": _with(DET, ROSTERS, FRAMES) + "select p.image_id, p.det_idx, p.tracker_id from players p join team_of t on p.video_id = t.video_id and p.tracker_id = t.tracker_id where t.team_id = 0",
+    "best_pairs": _det(f"""select image_id, p_idx, n_idx from (select *, row_number() over (partition by image_id order by ios desc, p_idx, n_idx) as pair_rank
+from (select p.image_id, p.det_idx as p_idx, n.det_idx as n_idx, {_ios('p', 'n')} as ios from det p join det n on p.image_id = n.image_id where p.class_id in (1, 2) and n.class_id = 4) where ios > 0.5) where pair_rank <= 2"""),
+    "head_slice": _with(IMAGES) + "select id, file_name from images order by id limit 100",
+    "early_stop": _det(f"""select video_id, frame_idx, det_idx, class_id from (select *, min(case when class_id = 4 then frame_idx end) over (partition by video_id) as first
+from (select {VIDEO} as video_id, image_id % 500 as frame_idx, det_idx, class_id from det)) where first is null or frame_idx <= first"""),
+    "video_metadata": "select *, frames / fps as seconds from (select cast(floor(o_orderkey / 500) as bigint) as video_id, 64 as width, 48 as height, 30.0::double as fps, max(o_orderkey % 500) + 1 as frames from orders group by all)",
+    "court_lines": _with(COURT) + "select a.kp_idx as a, b.kp_idx as b, a.cx as x, a.cy as y, b.cx as x2, b.cy as y2, '#ffffff' as color, 3 as z from court a join court b on b.kp_idx = (a.kp_idx + 1) % 8",
+    "team_draw_commands": _with(DET, ROSTERS, FRAMES) + "select p.image_id, p.det_idx, 'box' as kind, p.x1 as x, p.y1 as y, p.x2 - p.x1 as w, p.y2 - p.y1 as h, case t.team_id when 0 then '#d62728' else '#1f77b4' end as color from players p join team_of t on p.video_id = t.video_id and p.tracker_id = t.tracker_id",
+    "labelled_images": _with(DET, IMAGES) + "select i.id, i.file_name, coalesce(d.class_id, -1) as class_id, coalesce(d.det_idx, -1) as det_idx from images i left join det d on d.image_id = i.id",
+    # Between the lowest row of the box and the part lie 3 to 11 rows; it stays where that is at most a twentieth of the diagonal.
+    "near_segments": _det("select image_id, det_idx, cast((cast(x2 as int) - cast(x1 as int) + 1) * (cast(y2 as int) - cast(y1 as int) + 1) + case when 3 + image_id % 9 <= 0.05 * sqrt(pow(cast(x2 as int) - cast(x1 as int) + 1, 2) + pow(cast(y2 as int) - cast(y1 as int) + 4 + image_id % 9, 2)) then 2 else 0 end as int) as area from det"),
+    "random_sample": _with(IMAGES) + "select id, split, file_name from images order by md5('3|' || cast(id as varchar)), id limit 10",
+    "coco_json": _coco(),
+    "validated_stream": _with(READS, VALIDATED) + "select * from locked",
+    "identity_stream": "select video_id, frame_idx, det_idx, tracker_id, number from (" + _identity("online") + ")",
     "player_identity": _identity("final"),
     "player_identity_online": _identity("online"),
 }

@@ -80,5 +80,12 @@ def teams(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, n, c) for k, (n, c) in COLORS.items()], "team_id int, team string, color string")
 
 
+def videos(spark: SparkSession, sf_dir: str, frames: int = 500, width: int = 1280, height: int = 720, fps: float = 30.0) -> DataFrame:
+    """What a container says of each video: video_id, width, height, fps, frames (one more than the last that is there)."""
+    video = F.floor(F.col("o_orderkey") / frames)
+    got = table(spark, sf_dir, "orders").groupBy(video.alias("video_id")).agg((F.max(F.col("o_orderkey") % frames) + 1).alias("frames"))
+    return got.select("video_id", F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(fps).alias("fps"), "frames")
+
+
 def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings")

@@ -26,18 +26,26 @@ def smaller_overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(least > 0, np.clip(w, 0, None) * np.clip(h, 0, None) / np.where(least > 0, least, 1), 0.0)
 
 
-def _frame(players: pd.DataFrame, numbers: pd.DataFrame, tracks: dict[str, list], s: Settings, read: bool) -> pd.DataFrame:
-    if read and len(players) and len(numbers):
-        ios = smaller_overlaps(players[list(BOX)].to_numpy(float), numbers[list(BOX)].to_numpy(float))
-        p, n = np.nonzero(ios > s.match_overlap)
-        best = np.lexsort((numbers["det_idx"].to_numpy()[n], players["det_idx"].to_numpy()[p], -ios[p, n]))
-        frame = int(players["frame_idx"].iloc[0])
-        for k in best:
-            key = str(players["tracker_id"].iloc[p[k]])
-            tracks[key] = list(step(tuple(tracks.get(key, (None, 0, None, None))), [frame], [numbers["value"].iloc[n[k]]], s.number_streak))
-    big = players[(players["x2"] - players["x1"]) * (players["y2"] - players["y1"]) > s.least_area]
-    number = [tracks.get(str(t), (None, 0, None, None))[2] for t in big["tracker_id"]]
-    return big[["frame_idx", "det_idx", "tracker_id"]].assign(number=pd.Series(number, index=big.index, dtype=object))
+def _video(rows: pd.DataFrame, tracks: dict[str, list], s: Settings) -> pd.DataFrame:
+    """The rows to emit of one video's frames, in order; ``tracks`` is carried on."""
+    frame, idx, value = rows["frame_idx"].to_numpy(), rows["det_idx"].to_numpy(), rows["value"].to_numpy(object)
+    box, track = rows[list(BOX)].to_numpy(float), rows["tracker_id"].to_numpy()
+    player, digits = rows["class_id"].isin(s.player_classes).to_numpy(), (rows["class_id"] == s.number_class).to_numpy()
+    big = player & ((box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1]) > s.least_area)
+    number = np.full(len(rows), None, object)
+    cuts = np.append(np.flatnonzero(np.append(True, frame[1:] != frame[:-1])), len(frame))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        p, n = lo + np.flatnonzero(player[lo:hi]), lo + np.flatnonzero(digits[lo:hi])
+        if frame[lo] % s.read_every == 0 and len(p) and len(n):
+            ios = smaller_overlaps(box[p], box[n])
+            a, b = np.nonzero(ios > s.match_overlap)
+            for k in np.lexsort((idx[n[b]], idx[p[a]], -ios[a, b])):
+                key = str(int(track[p[a[k]]]))
+                held = tuple(tracks.get(key, (None, 0, None, None)))
+                tracks[key] = list(step(held, [int(frame[lo])], [value[n[b[k]]]], s.number_streak))
+        for k in p[big[p]]:
+            number[k] = tracks.get(str(int(track[k])), (None, 0, None, None))[2]
+    return rows[big][["frame_idx", "det_idx", "tracker_id"]].assign(number=pd.Series(number[big], index=rows.index[big], dtype=object))
 
 
 def identify_stream(boxes: DataFrame, s: Settings = DEFAULTS, key: str = "video_id") -> DataFrame:
@@ -52,12 +60,9 @@ def identify_stream(boxes: DataFrame, s: Settings = DEFAULTS, key: str = "video_
     def of(name: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tracks: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
         rows = pd.concat(list(batches)).sort_values(["frame_idx", "det_idx"], kind="stable")
-        for frame, here in rows.groupby("frame_idx", sort=True):
-            players, numbers = here[here["class_id"].isin(s.player_classes)], here[here["class_id"] == s.number_class]
-            got = _frame(players, numbers, tracks, s, frame % s.read_every == 0)
-            if len(got):
-                yield got.assign(**{key: name[0]})[[key, "frame_idx", "det_idx", "tracker_id", "number"]]
+        got = _video(rows, tracks, s)
         state.update((json.dumps(tracks),))
+        yield got.assign(**{key: name[0]})[[key, "frame_idx", "det_idx", "tracker_id", "number"]]
 
     kind = boxes.schema[key].dataType.simpleString()
     return boxes.groupBy(key).applyInPandasWithState(of, f"{key} {kind}, {OUTPUT}", "tracks string", "append", GroupStateTimeout.NoTimeout)
