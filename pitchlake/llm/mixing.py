@@ -15,41 +15,49 @@ DEFAULT_WEIGHT = 1
 #: No document is used more often than this.
 MAX_EPOCHS = 4
 SEED = 17
-#: A table of more sources than this is joined by a shuffle.
-BROADCAST_SOURCES = 200_000
 
 
-def plan(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, max_epochs: int = MAX_EPOCHS, budget: int | None = None) -> DataFrame:
+def plan(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, max_epochs: int = MAX_EPOCHS, budget: int | None = None) -> DataFrame:
     """Repetitions of each source: (source, size, weight, epochs), of the sources that hold any text.
 
     Size is characters of text. The budget (the size of the whole table, unless given) goes to the
-    sources in proportion to their weights; a source that would be read more than ``max_epochs``
+    sources in proportion to their weights, any positive numbers; a source that would be read more than ``max_epochs``
     times is clamped there and the excess goes to the rest in proportion, until none exceeds its
     cap. That level is found at once: in the order of cap / weight the clamped sources come first.
+
+    Sources are ordered by ranges of size / weight, and summed within each range and before it, so that they needn't fit
+    one task.
     """
-    listed = F.create_map([F.lit(x) for kv in weights.items() for x in kv]) if weights else None
-    weight = F.coalesce(F.try_element_at(listed, F.col("source")), F.lit(default_weight)) if weights else F.lit(default_weight)
+    listed = F.create_map([F.lit(x) for s, w in weights.items() for x in (s, float(w))]) if weights else None
+    weight = F.coalesce(F.try_element_at(listed, F.col("source")), F.lit(float(default_weight))) if weights else F.lit(float(default_weight))
     sizes = docs.groupBy(q("source").cast("string").alias("source")).agg(F.sum(F.length(q("text")).cast("long")).alias("size")).where("size > 0")
-    sizes = sizes.withColumn("weight", F.when(F.col("source").isNull(), F.lit(default_weight)).otherwise(weight).cast("long")).where("weight > 0")
-    # One row for each source: a window without a partition is small here.
-    order = Window.orderBy(F.col("size") / F.col("weight"), F.col("source").asc_nulls_first())
-    whole = Window.partitionBy()
-    total = F.sum("size").over(whole) if budget is None else F.lit(budget).cast("long")
-    got = (
-        sizes.withColumn("total", total)
-        .withColumn("nth", F.row_number().over(order))
-        .withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * max_epochs)
-        .withColumn("after", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", (F.col("total") - F.col("before")).cast("double") / F.col("after"))
-        .withColumn("fits", F.col("level") * F.col("weight") <= F.col("size") * max_epochs)
-        .withColumn("level", F.min_by("level", F.when(F.col("fits"), F.col("nth"))).over(whole))
-        .withColumn("fit", F.max("fits").over(whole))
+    sizes = sizes.withColumn("weight", F.when(F.col("source").isNull(), F.lit(float(default_weight))).otherwise(weight)).where("weight > 0 and not isnan(weight)")
+    place = (F.col("size") / F.col("weight"), F.col("source").asc_nulls_first())
+    parts = cut(sizes.repartitionByRange(*place).withColumn("part", F.spark_partition_id()))
+    # One row for each range.
+    ranges = parts.groupBy("part").agg(F.sum("size").alias("of_size"), F.sum("weight").alias("of_weight"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.select(
+        "part",
+        F.coalesce(F.sum("of_size").over(earlier), F.lit(0)).alias("size_before"),
+        F.coalesce(F.sum("of_weight").over(earlier), F.lit(0.0)).alias("weight_before"),
+        F.sum("of_size").over(Window.partitionBy()).alias("whole_size"),
+        F.sum("of_weight").over(Window.partitionBy()).alias("whole_weight"),
     )
-    share = F.greatest(F.lit(0.0), F.least(F.col("level") * F.col("weight") / F.col("size"), F.lit(float(max_epochs))))
-    return got.select("source", "size", "weight", F.when(F.col("fit"), share).otherwise(F.lit(float(max_epochs))).alias("epochs"))
+    lower = Window.partitionBy("part").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    before = (F.col("size_before") + F.coalesce(F.sum("size").over(lower), F.lit(0))) * max_epochs
+    after = F.col("whole_weight") - (F.col("weight_before") + F.coalesce(F.sum("weight").over(lower), F.lit(0.0)))
+    total = F.col("whole_size") if budget is None else F.lit(budget).cast("long")
+    got = parts.join(sums, "part").withColumn("level", (total - before).cast("double") / after)
+    fits = got.where(F.col("level") * F.col("weight") <= F.col("size") * max_epochs)
+    # Of no row where all are clamped; one row at most otherwise.
+    level = fits.agg(F.min_by("level", F.struct(place[0], F.col("source").isNotNull(), "source")).alias("level"))
+    most = F.lit(float(max_epochs))
+    share = F.greatest(F.lit(0.0), F.least(F.col("level") * F.col("weight") / F.col("size"), most))
+    return parts.crossJoin(level).select("source", "size", "weight", F.coalesce(share, most).alias("epochs"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, max_epochs: int = MAX_EPOCHS, budget: int | None = None, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, max_epochs: int = MAX_EPOCHS, budget: int | None = None, seed: int = SEED, copy: str | None = "copy") -> DataFrame:
     """The documents, each as often as its source's epochs say, with ``copy`` counting from 1.
 
     The whole part of the epochs gives that many copies; one more goes to those documents whose
@@ -57,39 +65,37 @@ def mix(docs: DataFrame, weights: Mapping[str, int] = WEIGHTS, default_weight: i
     fraction. Rows that repeat a doc_id share that number.
 
     A null source is a source of its own, with the default weight. Sources without any text, and
-    those of weight 0, give no rows; a null or empty text in another source counts 0 and is repeated
-    as its source is. An empty table stays empty. Other columns are kept; one named ``copy`` is replaced.
+    those whose weight isn't above 0, give no rows; a null or empty text in another source counts 0 and is repeated
+    as its source is. An empty table stays empty. Other columns are kept; one named as ``copy`` is replaced. Where
+    that is None, copies aren't numbered.
     """
-    keep = others(docs, "copy")
+    keep = others(docs, copy) if copy else docs.columns
     docs = docs.select([q(c) for c in keep])
     source, epochs, draw = fresh(docs, "mix_source", "epochs", "draw")
     epochs_of = cut(plan(docs, weights, default_weight, max_epochs, budget).select(F.col("source").alias(source), F.col("epochs").alias(epochs)))
-    if epochs_of.count() <= BROADCAST_SOURCES:
-        epochs_of = F.broadcast(epochs_of)
     key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(q("doc_id").cast("string"), F.md5(q("text").cast("binary")), F.lit("")))
     number = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     copies = (F.floor(q(epochs)) + F.when(number < q(epochs) - F.floor(q(epochs)), 1).otherwise(0)).cast("int")
-    return (
-        docs.join(epochs_of, q("source").cast("string").eqNullSafe(q(source)))
-        .withColumn(draw, copies)
-        .where(q(draw) > 0)
-        .select(*[q(c) for c in keep], F.explode(F.sequence(F.lit(1), q(draw))).alias("copy"))
-    )
+    numbers = F.explode(F.sequence(F.lit(1), q(draw)))
+    # How the two are joined is left to the optimizer, which knows their sizes; hot sources are split by it, too.
+    got = docs.join(epochs_of, q("source").cast("string").eqNullSafe(q(source))).withColumn(draw, copies).where(q(draw) > 0)
+    return got.select(*[q(c) for c in keep], numbers.alias(copy or source)).select(*[q(c) for c in keep], *([q(copy)] if copy else []))
 
 
-def sql(weights: Mapping[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, docs: str = "documents") -> str:
+def sql(weights: Mapping[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, docs: str = "documents") -> str:
     """The same in DuckDB SQL, over a table of documents."""
-    case = " ".join(f"when '{s}' then {w}" for s, w in weights.items())
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    case = "case source " + " ".join(f"when {text(s)} then {float(w)!r}" for s, w in weights.items()) + f" else {float(default_weight)!r} end" if weights else repr(float(default_weight))
     return f"""
 with sizes as (
-  select source, cast(sum(length(text)) as bigint) as size, cast(case source {case} else {default_weight} end as bigint) as weight
+  select source, cast(sum(length(text)) as bigint) as size, cast({case} as double) as weight
   from {docs} group by source having sum(length(text)) > 0
 ), ordered as (
   select *, row_number() over o as nth, sum(size) over () as total,
          coalesce(sum(size) over (o rows between unbounded preceding and 1 preceding), 0) * {max_epochs} as before,
-         sum(weight) over (o rows between current row and unbounded following) as after
+         sum(weight) over () - coalesce(sum(weight) over (o rows between unbounded preceding and 1 preceding), 0) as after
   from sizes where weight > 0
-  window o as (order by cast(size as double) / weight, source nulls first)
+  window o as (order by size / weight, source nulls first)
 ), levels as (
   select *, cast(total - before as double) / after as level,
          cast(total - before as double) / after * weight <= size * {max_epochs} as fits

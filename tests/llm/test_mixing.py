@@ -18,7 +18,7 @@ def made(seed, n=400):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("weights,cap,budget", [({"a": 1, "b": 9}, 4, None), ({"b": 50, "c": 50}, 2, None), ({"a": 3}, 1, 10_000), ({"a": 1}, 3, 10**9), ({}, 4, None), ({"a": 0}, 4, None)])
+@pytest.mark.parametrize("weights,cap,budget", [({"a": 1, "b": 9}, 4, None), ({"b": 50, "c": 50}, 2, None), ({"a": 3}, 1, 10_000), ({"a": 1}, 3, 10**9), ({}, 4, None), ({"a": 0}, 4, None), ({"a": 0.3, "b": 0.7}, 4, None), ({"a": 1.5, "b": 2.5, "c": 1e-6}, 2, None), ({"a": -1.0, "b": float("nan")}, 4, None)])
 def test_equals_repeated_clamping(spark, seed, weights, cap, budget):
     rows = made(seed)
     sizes = Counter()
@@ -44,8 +44,27 @@ def test_odd_rows(spark):
     assert M.mix(df.limit(0)).isEmpty()
 
 
-def test_many_sources_are_joined_by_a_shuffle(spark, monkeypatch):
-    df = spark.createDataFrame(made(3), DDL)
-    want = sorted(tuple(r) for r in M.mix(df).collect())
-    monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
-    assert sorted(tuple(r) for r in M.mix(df).collect()) == want
+def test_many_sources(spark):
+    """Sources by the hundred thousand, over several ranges: the level is that of repeated clamping."""
+    n = 100_000
+    df = spark.range(n).selectExpr("id as doc_id", "repeat('x', cast(1 + id % 97 as int)) as text", "concat('s', id) as source")
+    sizes, weights = {f"s{k}": 1 + k % 97 for k in range(n)}, {"s0": 40.5, "s1": 0.25, "s96": 1000.0}
+    want = water_filling(sizes, weights, 1.0, 3)
+    got = {r["source"]: r["epochs"] for r in M.plan(df, weights, 1.0, 3).collect()}
+    assert got.keys() == want.keys() and max(abs(got[s] - want[s]) for s in want) < 1e-9
+
+
+def test_weights_of_any_names_in_sql(spark):
+    import duckdb
+
+    df = spark.createDataFrame([(k, "y" * (k + 1), s) for k, s in enumerate(["it's", "b", "b", None, "c"])], DDL)
+    docs = df.toPandas().assign(lang="en", n_chars=1)  # noqa: F841
+    weights = {"it's": 0.5, "b": 1.25}
+    got = sorted((r["doc_id"], r["copy"]) for r in M.mix(df, weights, 0.75).collect())
+    assert got == sorted(duckdb.sql(f"select doc_id, copy from ({M.sql(weights, 0.75, docs='docs')})").fetchall())
+
+
+def test_copies_need_no_number(spark):
+    df = spark.createDataFrame([(1, "abc", "a", 7)], DDL + ", copy int")
+    got = M.mix(df, {"a": 1}, budget=6, copy=None).collect()
+    assert [tuple(r) for r in got] == [(1, "abc", "a", 7)] * 2
