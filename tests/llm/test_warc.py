@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import random
 import re
+import zlib
 
 import pyarrow.fs as pafs
 import pytest
@@ -14,7 +17,7 @@ def salvaged(data, tmp_path):
     p = tmp_path / "f.warc"
     p.write_bytes(data)
     with pafs.LocalFileSystem().open_input_file(str(p)) as f:
-        return list(W.salvage(W.Window(f, len(data))))
+        return [(f.offset, f.length, f.reason, f.record and f.record.header, f.part) for f in W.salvage(W.Window(f, len(data)))]
 
 
 def made(n, packed, seed=0):
@@ -73,6 +76,102 @@ def test_checks(tmp_path):
     assert salvaged(x.replace(b"sha1:", b"none:"), tmp_path)[0][2] is None
 
 
+def test_valid_forms_are_read(tmp_path):
+    x = W.record("u", "i", b"body")
+    folded = x.replace(b"Content-Type: text/html", b"Content-Type: text/html;\r\n charset=utf-8")
+    assert salvaged(folded, tmp_path)[0][3]["content-type"] == "text/html; charset=utf-8"
+    for version in (b"WARC/0.17", b"WARC/0.18", b"WARC/1.0", b"WARC/1.1"):
+        assert [g[2] for g in salvaged(x.replace(b"WARC/1.0", version) * 2, tmp_path)] == [None, None]
+    long = x.replace(b"Content-Type:", b"X-Long: " + b"y" * 200_000 + b"\r\nContent-Type:")
+    assert [g[2] for g in salvaged(long + x, tmp_path)] == [None, None]
+    endless = b"WARC/1.0\r\n" + b"z" * 3_000_000
+    assert [g[2] for g in salvaged(endless + b"\r\n" + x, tmp_path)][-1] is None
+
+
+def test_several_records_in_a_member(tmp_path):
+    good = made(5, False, 3)
+    member = gzip.compress(b"".join(good))
+    got = salvaged(member + W.compressed(good[0]), tmp_path)
+    assert [(g[0], g[1], g[4]) for g in got] == [(0, len(member), k) for k in range(5)] + [(len(member), len(W.compressed(good[0])), 0)]
+    bad = good[2].replace(b"Content-Length", b"Content-Lengt")
+    got = salvaged(gzip.compress(b"".join([*good[:2], bad, *good[3:], b"junk"])), tmp_path)
+    assert [g[2] is None for g in got] == [True, True, False, True, True, False] and [g[4] for g in got] == list(range(6))
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_long_records_are_checked_in_chunks(tmp_path, packed):
+    block = bytes(range(256)) * (40 << 10)  # 10 MB
+    x = W.record("u", "i", block)
+    y = x[: len(x) // 2] + b"?" + x[len(x) // 2 + 1 :]
+    data = b"".join(W.compressed(v) if packed else v for v in (x, y, x))
+    p = tmp_path / "f.warc"
+    p.write_bytes(data)
+    with pafs.LocalFileSystem().open_input_file(str(p)) as f:
+        w, most = W.Window(f, len(data)), 0
+        got = []
+        for r in W.salvage(w):
+            got.append((r.reason, r.record and r.record.n_bytes))
+            most = max(most, len(w.held))
+    assert [g for g in got if g[0] is None] == [(None, len(block))] * 2 and got[1][0] == "block digest" and most < 5 * W.CHUNK
+
+
+def plain_reader(data):
+    """(offset, length, id) of the records that a walk over every byte finds, the plainest way: no window, no search."""
+    at, out = 0, []
+    while at < len(data):
+        end = None
+        raw, used = data[at:], None
+        if raw[:3] == b"\x1f\x8b\x08":
+            d = zlib.decompressobj(31)
+            try:
+                raw = d.decompress(raw)
+                used = len(data) - at - len(d.unused_data) if d.eof else None
+            except zlib.error:
+                used = None
+            raw = raw if used else b""
+        m = re.match(rb"WARC/1\.0\r\n(.*?)\r\n\r\n", raw, re.S)
+        if m:
+            try:
+                lines = m.group(1).decode("utf-8", "replace").split("\r\n")
+                h = {x.partition(":")[0].lower(): x.partition(":")[2].strip() for x in lines}
+                sound = all(re.match(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+:[^\n]*$", x) for x in lines) and len(h) == len(lines)
+                n = int(h["content-length"]) if sound and h.keys() >= {"warc-type", "warc-record-id"} and h["content-length"].isascii() else -1
+                block = raw[m.end() : m.end() + n]
+                digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
+                algorithm, _, value = h.get("warc-block-digest", ":").partition(":")
+                good = n >= 0 and raw[m.end() + n :][:4] == b"\r\n\r\n" and (algorithm.lower() != "sha1" or value.upper() == digest)
+                end = (used or m.end() + n + 4) if good and (not used or len(raw) == m.end() + n + 4) else None
+            except (ValueError, KeyError):
+                end = None
+        if end:
+            out.append((at, end, h["warc-record-id"]))
+        at += end or 1
+    return out
+
+
+@pytest.mark.parametrize("packed", [False, True])
+@pytest.mark.parametrize("seed", range(4))
+def test_reader_equals_a_walk_over_every_byte(tmp_path, packed, seed):
+    r = random.Random(seed)
+    data = b""
+    for k, x in enumerate(made(25, packed, seed)):
+        i = r.randrange(0 if packed else x.find(b"\r\n\r\n") + 4, len(x))  # what changes is in a block or a member
+        data += r.choice([x, x, x[:i] + bytes([x[i] ^ 0x20]) + x[i + 1 :], x[:i], b"\r\nWARC/1.0\r\n" + x])
+    got = [(o, n, h["warc-record-id"]) for o, n, reason, h, _ in salvaged(data, tmp_path) if reason is None]
+    assert got == plain_reader(data)
+
+
+def test_unreadable_files_are_gaps(spark, tmp_path):
+    (tmp_path / "good.warc").write_bytes(b"".join(made(3, False)))
+    (tmp_path / "folder").mkdir()
+    paths = [str(tmp_path / "good.warc"), str(tmp_path / "missing.warc"), str(tmp_path / "folder"), "nofs://x/y"]
+    got = W.read(spark.createDataFrame([(p,) for p in paths], "path string")).collect()
+    assert sum(r["kind"] == "record" for r in got) == 3
+    assert {r["path"] for r in got if r["kind"] == "gap" and r["reason"].startswith("unreadable") and r["length"] == 0} == set(paths[1:])
+    none = spark.createDataFrame([], "path string")
+    assert W.read(none).isEmpty() and W.read(none).columns == W._NAMES
+
+
 DDL = "page_id bigint, url string, html string"
 
 
