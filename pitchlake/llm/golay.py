@@ -10,8 +10,13 @@ choice of one codeword for each, is a key of the document. Documents that share
 a candidate pair counts when the whole fingerprints differ in at most ``MAX_BITS`` bits. Groups are the
 connected components of these pairs, and the smallest doc_id of a group is the one that stays.
 
-Words are longest runs of ASCII letters, digits and non-ASCII bytes, ASCII letters in lower case; each
-distinct word of a document counts once.
+Words are longest runs of ASCII letters, digits and non-ASCII bytes, ASCII letters in lower case. What a fingerprint is made of
+are the words and the pairs of neighbouring words, each numbered by its occurrences: the second 'the' of a
+document is another feature than the first, so that order and repetition count.
+
+Hot keys: the documents of a key are compared in chunks of ``CHUNK``. Where a key has more than one, those of its documents
+that aren't in the key's largest component after that are compared with all of its chunks, so that no link is lost and
+no task holds more than two chunks.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
@@ -36,12 +41,14 @@ KEYED = 7
 LAST = 6
 CHOSEN = 3
 NEAREST = 2
-#: Of 276 bits; a sixth of the bits means a cosine of 0.86 between the sets of words.
+#: Of 276 bits; a sixth of the bits means a cosine of 0.86 between the sets of features.
 MAX_BITS = 47
 _WORDS = -(-SEGMENTS * BITS // 64)
 SLOTS = 1 << 12
-#: Keys that one task sorts in memory, about.
+#: Keys of one partition, about.
 PARTITION_ROWS = 4_000_000
+#: Documents of one key that are compared at once.
+CHUNK = 8192
 
 
 @lru_cache(1)
@@ -62,16 +69,22 @@ def _signs() -> np.ndarray:
 def sums(column: pa.LargeStringArray) -> np.ndarray:
     """The sums whose signs are the fingerprints, a row for each text; all zero where there is no word.
 
-    Each distinct word adds +1 or -1 (by its hash) to one of ``SLOTS`` slots; the slots are projected at once.
+    Each feature adds +1 or -1 (by its hash) to one of ``SLOTS`` slots; the slots are projected at once.
     """
     data, offsets = B.buffers(column)
     start, end, row = B.runs(B.ALNUM, data, offsets)
     out = np.zeros((len(column), SEGMENTS * BITS), np.float32)
     if not len(row):
         return out
-    key = np.sort(row.astype(np.uint64) << np.uint64(40) | B.hashes(B.LOWER[data], start, end) >> np.uint64(24))
-    key = key[np.append(True, key[1:] != key[:-1])]
+    word = B.hashes(B.LOWER[data], start, end)
+    near = row[1:] == row[:-1]
+    pair = B.mix(word[:-1][near] * np.uint64(0x9E3779B97F4A7C15) + word[1:][near])
+    key = np.concatenate([word, pair]) >> np.uint64(24) | np.concatenate([row, row[1:][near]]).astype(np.uint64) << np.uint64(40)
+    key.sort()
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    nth = np.arange(len(key)) - np.repeat(at, np.diff(np.append(at, len(key))))
     row = (key >> np.uint64(40)).astype(np.int64)
+    key = B.mix((key << np.uint64(24)) + nth.astype(np.uint64))
     slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
     sign = np.where(key >> np.uint64(30) & np.uint64(1), 1.0, -1.0)
     at = np.searchsorted(row, np.arange(len(column) + 1))
@@ -131,7 +144,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in B.slices(batch, "text"):
             total = sums(B.strings(part.column(1)))
             there = total.any(1)
-            yield pa.record_batch([part.column(0), pa.array([t.tobytes() if ok else None for t, ok in zip(packed(total), there)], pa.binary()), pa.array([t.tobytes() if ok else None for t, ok in zip(np.clip(total * 2, -32767, 32767).astype("<i2"), there)], pa.binary())], ["id", "print", "total"])
+            yield pa.record_batch([part.column(0), part.column(2), pa.array([t.tobytes() if ok else None for t, ok in zip(packed(total), there)], pa.binary()), pa.array([t.tobytes() if ok else None for t, ok in zip(np.clip(total * 2, -32767, 32767).astype("<i2"), there)], pa.binary())], ["id", "text_hash", "print", "total"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,22 +157,27 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(ids[lo : lo + 2048], k.shape[1]))], ["key", "id"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition that holds all rows of its keys: those whose key has more than one document."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not held:
-        return
-    key, ids = (np.concatenate(x) for x in zip(*held))
-    held.clear()
-    order = np.argsort(key, kind="stable")
-    key, ids = key[order], ids[order]
-    same = key[1:] == key[:-1]
-    more = np.zeros(len(key), bool)
-    more[1:] |= same
-    more[:-1] |= same
-    key, ids = key[more], ids[more]
-    for lo in range(0, len(key), 1 << 17):
-        yield pa.record_batch([pa.array(key[lo : lo + (1 << 17)]), pa.array(ids[lo : lo + (1 << 17)])], ["key", "id"])
+def _shared(chunk: int):
+    """Of rows (key, id) sorted by key: those whose key has more than one document, with the number of their chunk."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest_key, rest_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        nth = 0  # rows of the key at hand that have gone before
+        for b in batches:
+            key, ids = np.append(rest_key, b.column(0).to_numpy()), np.append(rest_id, b.column(1).to_numpy())
+            at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            place = np.arange(len(key)) - np.repeat(at, np.diff(np.append(at, len(key))))
+            place[: at[1] if len(at) > 1 else len(key)] += nth
+            # The last row waits: the next batch may go on with its key.
+            n = len(key) - 1
+            more = (place[:n] > 0) | (key[1:] == key[:-1])
+            rest_key, rest_id, nth = key[n:], ids[n:], int(place[n])
+            if more.any():
+                yield pa.record_batch([pa.array(key[:n][more]), pa.array((place[:n][more] // chunk).astype(np.int32)), pa.array(ids[:n][more])], ["key", "chunk", "id"])
+        if nth:
+            yield pa.record_batch([pa.array(rest_key), pa.array(np.array([nth // chunk], np.int32)), pa.array(rest_id)], ["key", "chunk", "id"])
+
+    return of
 
 
 def links(ids: np.ndarray, prints: np.ndarray, limit: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -184,68 +202,125 @@ def links(ids: np.ndarray, prints: np.ndarray, limit: int = MAX_BITS) -> tuple[n
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), _WORDS)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links in each bucket, of rows (key, id, print) sorted by key; a bucket may cross batches."""
+    """Links in each chunk, of rows (key, chunk, id, print) sorted by key and chunk; a chunk may cross batches."""
     rest: pa.Table | None = None
 
+    def cuts(t: pa.Table) -> np.ndarray:
+        key, chunk = t.column(0).to_numpy(), t.column(1).to_numpy()
+        return np.flatnonzero((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+
     def of(t: pa.Table) -> pa.RecordBatch:
-        key, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
-        prints = np.frombuffer(b"".join(t.column(2).to_pylist()), "<u8").reshape(len(key), _WORDS)
-        at = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        ids, prints = t.column(2).to_numpy(), _unpacked(t.column(3))
+        at = np.concatenate([[0], cuts(t), [len(ids)]])
         size = np.diff(at)
         two = at[:-1][size == 2]
         near = apart(prints[two], prints[two + 1]) <= MAX_BITS
         found = [(ids[two[near]], ids[two[near] + 1])]
         found += [links(ids[i : i + n], prints[i : i + n]) for i, n in zip(at[:-1][size > 2], size[size > 2])]
         a, b = (np.concatenate(x) for x in zip(*found))
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        return _pairs(a, b)
 
     for batch in batches:
         rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest is not None else pa.Table.from_batches([batch])
-        key = rest.column(0).to_numpy()
-        if len(key) < 1 << 15:
+        if rest.num_rows < 1 << 15:
             continue
-        whole = int(np.searchsorted(key, key[-1]))
-        if whole:
-            yield of(rest.slice(0, whole))
-            rest = rest.slice(whole)
+        at = cuts(rest)
+        if len(at):
+            yield of(rest.slice(0, int(at[-1])))
+            rest = rest.slice(int(at[-1]))
     if rest is not None and rest.num_rows:
         yield of(rest)
 
 
+def _across(t: pa.Table) -> pa.Table:
+    """Links between documents outside of their key's largest component (``out``) and those of other components in a chunk."""
+    out = t["out"].to_numpy()
+    some, chunk = t.filter(out), t.filter(~out)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if some.num_rows and chunk.num_rows:
+        ids, roots, prints = chunk["id"].to_numpy(), chunk["root"].to_numpy(), _unpacked(chunk["print"])
+        for i, root, own in zip(some["id"].to_numpy(), some["root"].to_numpy(), _unpacked(some["print"])):
+            near = np.flatnonzero((apart(own, prints) <= MAX_BITS) & (roots != root))
+            near = near[np.unique(roots[near], return_index=True)[1]]  # one of each component is enough
+            a.append(np.full(len(near), i))
+            b.append(ids[near])
+    return pa.Table.from_batches([_pairs(np.concatenate(a), np.concatenate(b))])
+
+
+def _rest_of_hot_keys(buckets: DataFrame, hot: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that chunks of one key have with one another, as far as they tie components together."""
+    rows = buckets.join(hot, "key").join(roots, F.col("id") == F.col("node"), "left").select("key", "chunk", "id", "print", F.coalesce("root", "id").alias("root"))
+    rows = cut(rows)
+    largest = rows.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"))
+    out = rows.join(largest, "key").where("root <> largest").withColumnRenamed("chunk", "part")
+    every = out.join(rows.select("key", "chunk").distinct(), "key").select("key", "chunk", "part", "id", "print", "root")
+    every = cut(every.withColumn("out", F.lit(True)))
+    chunks = rows.join(every.select("key", "chunk", "part").distinct(), ["key", "chunk"]).withColumn("out", F.lit(False))
+    return every.unionByName(chunks).groupBy("key", "chunk", "part").applyInArrow(_across, "a long, b long")
+
+
+def groups(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, text_hash, print, root) of every document with a fingerprint; those of one group have one root.
+
+    A document is a distinct pair of doc_id and text; ``text_hash`` is the text's xxhash64. See ``duplicates``.
+    """
+    id_, text = q("doc_id"), q("text")
+    own = docs.select(id_.cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).where("id is not null")
+    prints = own.mapInArrow(_fingerprints, "id long, text_hash long, print binary, total binary")
+    prints = cut(prints.where("print is not null"))
+    # Equal fingerprints are joined by their value; only one of each goes on to the keys, under a number of its own.
+    tops = cut(prints.groupBy("print").agg(F.min("total").alias("total")).withColumn("node", F.monotonically_increasing_id()))
+    # Partitions follow the rows where the session's number is too low.
+    rows = tops.count() * (comb(KEYED, CHOSEN) + comb(LAST, CHOSEN)) * NEAREST**CHOSEN
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
+    keyed = tops.select("node", "total").mapInArrow(_keys, "key long, id long").repartition(parts, "key").sortWithinPartitions("key", "id")
+    shared = keyed.mapInArrow(_shared(chunk), "key long, chunk int, id long")
+    buckets = cut(shared.join(tops.select(F.col("node").alias("id"), "print"), "id").select("key", "chunk", "id", "print"))
+    pairs = cut(buckets.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_verified, "a long, b long").distinct())
+    roots = components(pairs)
+    hot = cut(buckets.where("chunk > 0").select("key").distinct())
+    if not hot.isEmpty():
+        more = _rest_of_hot_keys(buckets, hot, roots)
+        roots = components(cut(pairs.unionByName(more).distinct()))
+    tops = tops.select("print", "node").withColumnRenamed("node", "top").join(roots, F.col("top") == F.col("node"), "left").select("print", F.coalesce("root", "top").alias("root"))
+    return prints.select("id", "text_hash", "print").distinct().join(tops, "print").select(F.col("id").alias("doc_id"), "text_hash", "print", "root")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """Every member of a group of two or more: (doc_id, text_hash, kept_doc_id, kept_hash, bits, group_size)."""
+    member = groups(docs)
+    first = F.min(F.struct("doc_id", "text_hash", "print")).alias("kept")
+    held = member.groupBy("root").agg(first, F.count("*").alias("group_size")).where("group_size > 1")
+    got = member.join(held, "root")
+    return got.select("doc_id", "text_hash", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.text_hash").alias("kept_hash"), _bits(F.col("print"), F.col("kept.print")).alias("bits"), "group_size")
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
     """Each document that goes, with the one of its group that stays: (doc_id, kept_doc_id, bits, group_size).
 
     ``bits`` is how far the two fingerprints are apart, ``group_size`` the distinct documents in
     the group. Documents without a duplicate aren't in the result.
 
-    A null doc_id names no document: such rows take no part. Null or empty texts and those without
-    a word have no fingerprint and aren't duplicates of anything. Rows that repeat a doc_id are one
-    document (if their texts differ, one fingerprint of theirs, the least, counts).
-    Texts are taken whole, whatever their length. An empty table gives no rows; other columns are
-    not looked at.
+    A document is a distinct pair of doc_id and text: identical rows are one, and a doc_id that has several texts is as many
+    documents, each compared for itself; the kept one may then have the same doc_id. A null doc_id names no document: such
+    rows take no part. Null or empty texts and those without
+    a word have no fingerprint and aren't duplicates of anything. Texts are taken whole, whatever
+    their length. An empty table gives no rows; other columns are not looked at.
     """
-    id_, text = q("doc_id"), q("text")
-    prints = docs.select(id_.cast("long").alias("id"), text.alias("text")).where("id is not null").mapInArrow(_fingerprints, "id long, print binary, total binary")
-    prints = cut(prints.where("print is not null").groupBy("id").agg(F.min(F.struct("print", "total")).alias("p")).select("id", "p.*"))
-    # Equal fingerprints are joined by their value; only one of each goes on to the keys.
-    tops = cut(prints.groupBy("print").agg(F.min(F.struct("id", "total")).alias("m")).select("print", "m.*"))
-    # A task holds the keys of its partition, so their number follows the rows where the session's is too low.
-    rows = tops.count() * (comb(KEYED, CHOSEN) + comb(LAST, CHOSEN)) * NEAREST**CHOSEN
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
-    keyed = tops.select("id", "total").mapInArrow(_keys, "key long, id long").repartition(parts, "key")
-    shared = keyed.mapInArrow(_shared, "key long, id long")
-    buckets = shared.join(tops.select("id", "print"), "id").select("key", "id", "print")
-    pairs = cut(buckets.repartition("key").sortWithinPartitions("key").mapInArrow(_verified, "a long, b long").distinct())
-    roots = components(pairs)
-    tops = tops.select("print", "id").join(roots, tops["id"] == roots["node"], "left").select("print", F.coalesce("root", "id").alias("root"))
-    member = prints.select("id", "print").join(tops, "print")
-    groups = member.groupBy("root").agg(F.min("id").alias("kept"), F.min_by("print", "id").alias("kept_print"), F.count("*").alias("group_size")).where("group_size > 1")
-    return member.join(groups, "root").where("id <> kept").select(F.col("id").alias("doc_id"), F.col("kept").alias("kept_doc_id"), _bits("print", "kept_print").alias("bits"), "group_size")
+    return _judged(docs).where("doc_id <> kept_doc_id or text_hash <> kept_hash").select("doc_id", "kept_doc_id", "bits", "group_size")
 
 
-def _bits(a: str, b: str):
+def _bits(a: Column, b: Column) -> Column:
     """Differing bits of two fingerprints held as bytes, without Python."""
     word = lambda c, i: F.conv(F.substring(F.hex(c), 16 * i + 1, 16), 16, -10).cast("long")
     return sum((F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(_WORDS)), F.lit(0)).cast("int")
@@ -254,15 +329,16 @@ def _bits(a: str, b: str):
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents without those that ``duplicates`` lists: one document of each group stays.
 
-    All columns are kept. Rows with a null doc_id or no fingerprint stay; a doc_id that is
-    repeated stays as one row, that of the least text.
+    All columns are kept. Rows with a null doc_id or no fingerprint stay, but of identical ones with a doc_id and
+    a text (whatever their other columns) one stays. A doc_id that has several texts keeps those that aren't duplicates.
     """
-    gone, nth = fresh(docs, "gone", "nth")
-    kept = docs.join(duplicates(docs).select(F.col("doc_id").alias(gone)), q("doc_id").cast("long") == q(gone), "left_anti")
+    gone, hash_, nth = fresh(docs, "gone", "gone_hash", "nth")
+    listed = _judged(docs).where("doc_id <> kept_doc_id or text_hash <> kept_hash").select(F.col("doc_id").alias(gone), F.col("text_hash").alias(hash_))
+    kept = docs.join(listed, (q("doc_id").cast("long") == q(gone)) & (F.xxhash64(q("text")) == q(hash_)), "left_anti")
     ids = docs.select(q("doc_id").alias("id")).where("id is not null")
     if ids.groupBy("id").count().where("count > 1").isEmpty():
         return kept
     # Only where some doc_id is repeated.
     rest = [q(f.name) for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    order = Window.partitionBy(q("doc_id")).orderBy(q("text").asc_nulls_last(), F.xxhash64(*rest))
+    order = Window.partitionBy(q("doc_id"), F.xxhash64(q("text")), q("text").isNull()).orderBy(F.xxhash64(*rest))
     return kept.withColumn(nth, F.row_number().over(order)).where(q("doc_id").isNull() | (q(nth) == 1)).drop(nth)

@@ -112,9 +112,48 @@ def test_odd_rows(spark):
     assert G.duplicates(df.limit(0)).isEmpty() and G.drop_duplicates(df.limit(0)).isEmpty()
 
 
-def test_a_repeated_id_stays_once(spark):
-    df = spark.createDataFrame([(1, "b c d"), (1, "a b c"), (2, "other words here")], DDL)
-    assert sorted((r["doc_id"], r["text"]) for r in G.drop_duplicates(df).collect()) == [(1, "a b c"), (2, "other words here")]
+def test_texts_of_a_repeated_id_are_judged_each_for_itself(spark):
+    one, two, own = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    df = spark.createDataFrame([(1, one), (5, one), (5, own), (5, own), (7, two), (7, two + " more"), (8, None), (8, None)], DDL)
+    want = [(1, one), (5, own), (7, min(two, two + " more", key=lambda t: t)), (8, None)]
+    got = [(r["doc_id"], r["text"]) for r in G.drop_duplicates(df).collect()]
+    assert sorted(i for i, _ in got) == [1, 5, 7, 8] and set(got) - {(7, two), (7, two + " more")} == set(want) - {(7, two)}
+    assert sorted((r["doc_id"], r["kept_doc_id"]) for r in G.duplicates(df).collect()) == [(5, 1), (7, 7)]
+
+
+def test_order_and_repetition_count():
+    words = [f"word{k}" for k in range(40)]
+    one = " ".join(words)
+    p = prints([one, " ".join(words[::-1]), " ".join([one] * 3), one + " end", ". ".join(words)])
+    assert G.apart(p[0], p[1]) > G.MAX_BITS and G.apart(p[0], p[2]) > G.MAX_BITS
+    assert G.apart(p[0], p[3]) <= G.MAX_BITS and G.apart(p[0], p[4]) == 0
+
+
+@pytest.mark.parametrize("chunk", [2, 5, 16])
+def test_hot_keys_in_chunks_lose_no_link(spark, chunk):
+    """Families of distinct near copies and chains of them, with keys of more documents than a chunk."""
+    rows = made(5, 25)
+    r = random.Random(1)
+    base = [f"base{k}" for k in range(150)]
+    for k in range(60):  # one family
+        copy = list(base)
+        copy[r.randrange(150)] = f"x{k}"
+        rows.append((1000 + k, " ".join(copy)))
+    drift = list(base)
+    for k in range(40):  # a chain that leaves the family step by step
+        for _ in range(4):
+            drift[r.randrange(150)] = f"y{r.random()}"
+        rows.append((2000 + k, " ".join(drift)))
+    df = spark.createDataFrame(rows, DDL)
+    label = lambda c: {frozenset(g) for g in _grouped(G.groups(df, c).collect()).values()}
+    assert label(chunk) == label(1 << 20)
+
+
+def _grouped(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["root"], []).append(r["doc_id"])
+    return out
 
 
 def test_thousands_of_copies(spark):
