@@ -41,7 +41,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, clusters=golay.groups(docs))
 
 
 def op9_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,27 +31,38 @@ BITS = 8
 MOST_BITS = 12
 
 
-@dataclass(frozen=True)
+@dataclass
 class Ring:
-    """Points in order, and for each the distinct shards met from there on, clockwise."""
+    """Points in order, and for each the first distinct shards met from there on, clockwise: as many as were asked for."""
 
     names: tuple[str, ...]
     points: np.ndarray
     owners: np.ndarray
-    walk: np.ndarray  # arc x shards
+    walk: np.ndarray  # arc x depth
 
     @staticmethod
-    def of(names: tuple[str, ...], vnodes: int = VNODES) -> Ring:
+    def of(names: tuple[str, ...], vnodes: int = VNODES, depth: int = 8) -> Ring:
         at = sorted((int.from_bytes(hashlib.md5(f"{n}#{v}".encode()).digest()[:8], "big"), k) for k, n in enumerate(names) for v in range(vnodes))
         points = np.array([p for p, _ in at], np.uint64)
         owners = np.array([k for _, k in at], np.int64)
-        walk = np.empty((len(at), len(names)), np.int64)
-        last: list[int] = list(dict.fromkeys(owners.tolist()))  # from the first point on
-        for arc in range(len(at) - 1, -1, -1):
-            last.remove(int(owners[arc]))
-            last.insert(0, int(owners[arc]))
-            walk[arc] = last
-        return Ring(names, points, owners, walk)
+        ring = Ring(names, points, owners, np.zeros((len(at), 0), np.int32))
+        ring.deepen(min(depth, len(names)))
+        return ring
+
+    def deepen(self, depth: int) -> None:
+        self.walk = np.empty((len(self.points), depth), np.int32)
+        last: list[int] = list(dict.fromkeys(self.owners.tolist()))  # from the first point on
+        for arc in range(len(self.points) - 1, -1, -1):
+            last.remove(int(self.owners[arc]))
+            last.insert(0, int(self.owners[arc]))
+            self.walk[arc] = last[:depth]
+
+    def met(self, arc: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """The shard that each walk is at after so many steps."""
+        most = int(step.max(initial=0)) + 1
+        if most > self.walk.shape[1]:
+            self.deepen(min(len(self.names), 2 * most))
+        return self.walk[arc, step]
 
     def arcs(self, h: np.ndarray) -> np.ndarray:
         """The number of the first point at or after each hash; past the last it is the first."""
@@ -76,14 +87,14 @@ def cutoffs(ring: Ring, arc: np.ndarray, level: np.ndarray, count: np.ndarray, c
     cut_at = np.full(len(ring.names), levels)
     step = np.zeros(len(arc), np.int64)
     while True:
-        shard = ring.walk[arc, step]
+        shard = ring.met(arc, step).astype(np.int64)
         load = np.bincount(shard * levels + level, count, len(cut_at) * levels).reshape(-1, levels).cumsum(1)
         over = load > capacity
         now = np.where(over.any(1), over.argmax(1), levels)
         if (now >= cut_at).all():
             return cut_at
         cut_at = np.minimum(cut_at, now)
-        while (out := level >= cut_at[ring.walk[arc, step]]).any():
+        while (out := level >= cut_at[ring.met(arc, step)]).any():
             step[out] += 1
             if step.max() == len(ring.names):
                 return None
@@ -92,11 +103,11 @@ def cutoffs(ring: Ring, arc: np.ndarray, level: np.ndarray, count: np.ndarray, c
 def shards_of(ring: Ring, cut_at: np.ndarray, arc: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shard of each key, and how many full shards it passed."""
     step = np.zeros(len(arc), np.int64)
-    out = level >= cut_at[ring.walk[arc, 0]]
+    out = level >= cut_at[ring.met(arc, step)]
     while out.any():
         step[out] += 1
-        out[out] = level[out] >= cut_at[ring.walk[arc[out], step[out]]]
-    return ring.walk[arc, step], step
+        out[out] = level[out] >= cut_at[ring.met(arc[out], step[out])]
+    return ring.met(arc, step), step
 
 
 def _hash(key: str) -> Column:
@@ -148,27 +159,3 @@ def shard(docs: DataFrame, key: str = "doc_id", shards: int | tuple[str, ...] =
     (placed,) = fresh(docs, "placed")
     got = docs.select([q(c) for c in keep]).withColumn(placed, assigned(_hash(key)))
     return got.select([q(c) for c in keep] + [q(placed)["shard"].alias("shard"), q(placed)["hops"].alias("hops")])
-
-
-def brute_force(ring: Ring, hashes: np.ndarray, capacity: int, bits: int) -> dict[int, int]:
-    """For tests: one key after another, each displacing the worst key of a full shard if it is worse than itself.
-
-    Keys of equal level on a shard stay or leave together, as in ``cutoffs``.
-    """
-    arc, level = place(ring, hashes, bits)
-    step = {k: 0 for k in range(len(hashes))}
-    limit = [1 << bits] * len(ring.names)
-    held: list[set[int]] = [set() for _ in ring.names]
-    todo = list(step)
-    while todo:
-        k = todo.pop()
-        while level[k] >= limit[ring.walk[arc[k], step[k]]]:
-            step[k] += 1
-        s = int(ring.walk[arc[k], step[k]])
-        held[s].add(k)
-        while len(held[s]) > capacity:
-            limit[s] = max(int(level[i]) for i in held[s])
-            out = {i for i in held[s] if level[i] >= limit[s]}
-            held[s] -= out
-            todo += out
-    return {k: s for s, ks in enumerate(held) for k in ks}

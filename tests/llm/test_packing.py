@@ -6,11 +6,30 @@ from collections import Counter, defaultdict
 import pandas as pd
 import pytest
 
+from pitchlake.llm import golay
 from pitchlake.llm import packing as P
 
 DDL = "doc_id bigint, text string, source string"
 
 
+def brute_force(rows, capacity):
+    """{(row, piece): bin} of rows (doc_id, source, cluster, n_bytes) that are already in order."""
+    free, out = [], {}
+    for r, (_, _, _, n) in enumerate(rows):
+        for p in range(n // capacity):
+            out[r, p] = len(free)
+            free.append((0, set()))
+    for r in sorted((r for r in range(len(rows)) if rows[r][3] % capacity), key=lambda r: -(rows[r][3] % capacity)):
+        _, s, c, n = rows[r]
+        fits = [(room, b) for b, (room, held) in enumerate(free) if room >= n % capacity and not held & {("s", s), ("c", c)}]
+        b = min(fits)[1] if fits else len(free)
+        if not fits:
+            free.append((capacity, set()))
+        free[b] = (free[b][0] - n % capacity, free[b][1] | {("s", s), ("c", c)})
+        out[r, n // capacity] = b
+    return out
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_equals_brute_force(seed):
     r = random.Random(seed)
@@ -18,7 +37,7 @@ def test_equals_brute_force(seed):
     df = pd.DataFrame(rows, columns=["doc_id", "source", "cluster", "n_bytes"])
     got = P.pack(df, 100)
     order = df.sort_values(["n_bytes", "doc_id", "cluster", "source"], ascending=[False, True, True, True], kind="stable", na_position="last")
-    want = P.brute_force([tuple(x) for x in order[["doc_id", "source", "cluster", "n_bytes"]].itertuples(index=False)], 100)
+    want = brute_force([tuple(x) for x in order[["doc_id", "source", "cluster", "n_bytes"]].itertuples(index=False)], 100)
     assert {(x.row, x.piece): x.bin for x in got.itertuples()} == want
 
 
@@ -63,6 +82,24 @@ def test_odd_rows(spark):
     assert P.pack_documents(df.limit(0)).isEmpty()
 
 
+def test_near_copies_never_share_a_bin(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(40)) + f" x{k % 2}", f"s{k}") for k in range(12)] + [(100 + k, f"other{k} words{k}", f"s{k}") for k in range(12)]
+    df = spark.createDataFrame(rows, DDL)
+    got = P.pack_documents(df, clusters=golay.groups(df)).collect()
+    held = defaultdict(list)
+    for r in checked(rows, got, P.CAPACITY).values():
+        for x in r:
+            held[x["doc_id"]] = [y["doc_id"] for y in r]
+    assert all(sum(i < 100 for i in held[k]) == 1 for k in range(12))  # texts of equal words but for one
+
+
+def test_a_hot_document_is_spread(spark):
+    df = spark.range(3000).selectExpr("cast(null as bigint) as doc_id", "repeat('y', 100) as text", "concat('s', id % 7) as source")
+    got = P.pack_documents(df, 1000, 20_000).collect()
+    assert len(got) == 3000 and len({r["bin_id"] for r in got}) == 3000
+    assert len({r["bin_id"] >> 32 for r in got}) > 8
+
+
 def test_equal_pieces_tie_by_doc_id():
     df = pd.DataFrame({"doc_id": [3, 1, 2], "source": ["a", "b", "c"], "cluster": [1, 2, 3], "n_bytes": [50, 50, 50]})
     got = P.pack(df, 100)

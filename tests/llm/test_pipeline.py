@@ -18,6 +18,7 @@ from pitchlake.llm.queries import QUERIES, SQL
 from ..compare import assert_same, connect
 from .brute import copies, water_filling
 from .test_golay import brute_force as near_copies
+from .test_packing import brute_force as pack_one_by_one
 from .test_quality import plain_score
 
 DIR = "/root/testdata/sf0.001"
@@ -48,7 +49,7 @@ def plain_run(spark):
     rows = [r for r in rows for _ in range(copies(r["doc_id"], r["text"], epochs[r["source"]], mixing.SEED))]
     # Clusters are equal texts; among copies of a document the order doesn't show in the result.
     order = sorted(rows, key=lambda r: (-len(r["text"].encode()), r["doc_id"]))
-    placed = packing.brute_force([(r["doc_id"], r["source"], r["text"], len(r["text"].encode())) for r in order], packing.CAPACITY)
+    placed = pack_one_by_one([(r["doc_id"], r["source"], r["text"], len(r["text"].encode())) for r in order], packing.CAPACITY)
     return order, placed
 
 
