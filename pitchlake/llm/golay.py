@@ -157,25 +157,54 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(ids[lo : lo + 2048], k.shape[1]))], ["key", "id"])
 
 
-def _shared(chunk: int):
-    """Of rows (key, id) sorted by key: those whose key has more than one document, with the number of their chunk."""
+def _shared(chunk: int, most: int = PARTITION_ROWS):
+    """Of a partition that holds all rows of its keys: those whose key has more than one document, with the number of their chunk.
+
+    Rows are held until their keys can be told apart; whenever ``most`` are held, those of hot keys, of which a chunk is
+    there, go. What stays is what keys of fewer documents have, of which a partition has a bounded number.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_key, rest_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        nth = 0  # rows of the key at hand that have gone before
-        for b in batches:
-            key, ids = np.append(rest_key, b.column(0).to_numpy()), np.append(rest_id, b.column(1).to_numpy())
+        gone: dict[int, int] = {}  # rows of hot keys that have gone
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        limit = n = 0
+
+        def sent(key: np.ndarray, ids: np.ndarray, least: int) -> tuple[np.ndarray, Iterator[pa.RecordBatch]]:
+            """Which of the rows, sorted by key, stay, and the others: those of keys that have gone, or have at least so many."""
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            place = np.arange(len(key)) - np.repeat(at, np.diff(np.append(at, len(key))))
-            place[: at[1] if len(at) > 1 else len(key)] += nth
-            # The last row waits: the next batch may go on with its key.
-            n = len(key) - 1
-            more = (place[:n] > 0) | (key[1:] == key[:-1])
-            rest_key, rest_id, nth = key[n:], ids[n:], int(place[n])
-            if more.any():
-                yield pa.record_batch([pa.array(key[:n][more]), pa.array((place[:n][more] // chunk).astype(np.int32)), pa.array(ids[:n][more])], ["key", "chunk", "id"])
-        if nth:
-            yield pa.record_batch([pa.array(rest_key), pa.array(np.array([nth // chunk], np.int32)), pa.array(rest_id)], ["key", "chunk", "id"])
+            size = np.diff(np.append(at, len(key)))
+            first = np.array([gone.get(k, 0) for k in key[at].tolist()]) if gone else np.zeros(len(at), np.int64)
+            some = (size >= least) | (first > 0)
+            if least > 1:
+                gone.update(zip(key[at][size >= chunk].tolist(), (first + size)[size >= chunk].tolist()))
+                gone.update(zip(key[at][first > 0].tolist(), (first + size)[first > 0].tolist()))
+            go = np.repeat(some, size)
+            number = ((np.arange(len(key)) - np.repeat(at - first, size))[go] // chunk).astype(np.int32)
+            key, ids = key[go], ids[go]
+            step = 1 << 17
+            return ~go, (pa.record_batch([pa.array(x[lo : lo + step]) for x in (key, number, ids)], ["key", "chunk", "id"]) for lo in range(0, len(key), step))
+
+        def whole() -> tuple[np.ndarray, np.ndarray]:
+            key, ids = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(key, kind="stable")
+            return key[order], ids[order]
+
+        limit = most * 2
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            n += b.num_rows
+            if n > limit:
+                key, ids = whole()
+                stay, rows = sent(key, ids, chunk)
+                yield from rows
+                held.append((key[stay], ids[stay]))
+                n = len(held[0][0])
+                limit = max(most * 2, 2 * n)
+        if held:
+            key, ids = whole()
+            if len(key):
+                yield from sent(key, ids, 2)[1]
 
     return of
 
@@ -212,7 +241,10 @@ def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links in each chunk, of rows (key, chunk, id, print) sorted by key and chunk; a chunk may cross batches."""
+    """Links (a, b) in each chunk, of rows (key, chunk, id, print) sorted by key and chunk; a chunk may cross batches.
+
+    Rows with a key, and no link, name the keys of more than one chunk.
+    """
     rest: pa.Table | None = None
 
     def cuts(t: pa.Table) -> np.ndarray:
@@ -228,7 +260,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(ids[two[near]], ids[two[near] + 1])]
         found += [links(ids[i : i + n], prints[i : i + n]) for i, n in zip(at[:-1][size > 2], size[size > 2])]
         a, b = (np.concatenate(x) for x in zip(*found))
-        return _pairs(a, b)
+        pairs = _pairs(a, b)
+        hot = np.unique(t.column(0).to_numpy()[t.column(1).to_numpy() > 0])
+        none = lambda k: pa.nulls(k, pa.int64())
+        both = [pa.concat_arrays(x) for x in ((pairs.column(0), none(len(hot))), (pairs.column(1), none(len(hot))), (none(pairs.num_rows), pa.array(hot)))]
+        return pa.record_batch(both, ["a", "b", "key"])
 
     for batch in batches:
         rest = pa.concat_tables([rest, pa.Table.from_batches([batch])]) if rest is not None else pa.Table.from_batches([batch])
@@ -283,12 +319,12 @@ def groups(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     # Partitions follow the rows where the session's number is too low.
     rows = tops.count() * (comb(KEYED, CHOSEN) + comb(LAST, CHOSEN)) * NEAREST**CHOSEN
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
-    keyed = tops.select("node", "total").mapInArrow(_keys, "key long, id long").repartition(parts, "key").sortWithinPartitions("key", "id")
+    keyed = tops.select("node", "total").mapInArrow(_keys, "key long, id long").repartition(parts, "key")
     shared = keyed.mapInArrow(_shared(chunk), "key long, chunk int, id long")
-    buckets = cut(shared.join(tops.select(F.col("node").alias("id"), "print"), "id").select("key", "chunk", "id", "print"))
-    pairs = cut(buckets.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_verified, "a long, b long").distinct())
+    buckets = shared.join(tops.select(F.col("node").alias("id"), "print"), "id").select("key", "chunk", "id", "print")
+    found = cut(buckets.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_verified, "a long, b long, key long").distinct())
+    pairs, hot = found.where("key is null").select("a", "b"), found.where("key is not null").select("key").distinct()
     roots = components(pairs)
-    hot = cut(buckets.where("chunk > 0").select("key").distinct())
     if not hot.isEmpty():
         more = _rest_of_hot_keys(buckets, hot, roots)
         roots = components(cut(pairs.unionByName(more).distinct()))

@@ -149,6 +149,22 @@ def test_hot_keys_in_chunks_lose_no_link(spark, chunk):
     assert label(chunk) == label(1 << 20)
 
 
+def test_rows_of_shared_keys_with_the_numbers_of_their_chunks():
+    r = np.random.default_rng(2)
+    key = np.concatenate([np.full(900, 7), r.integers(100, 400, 700), np.full(3, 8)])
+    r.shuffle(key)
+    rows = [(int(k), i) for i, k in enumerate(key)]
+    batches = [pa.record_batch([pa.array([k for k, _ in rows[lo : lo + 50]]), pa.array([i for _, i in rows[lo : lo + 50]])], ["key", "id"]) for lo in range(0, len(rows), 50)]
+    for most in (20, 10_000):
+        got = [x for b in G._shared(16, most)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns))]
+        many = {k for k in key if (key == k).sum() > 1}
+        assert sorted((k, i) for k, _, i in got) == sorted(x for x in rows if x[0] in many)
+        size = {}
+        for k, c, _ in got:
+            size[k, c] = size.get((k, c), 0) + 1
+        assert max(size.values()) <= 16 and len([1 for k, _ in size if k == 7]) == -(-900 // 16)
+
+
 def _grouped(rows):
     out = {}
     for r in rows:
