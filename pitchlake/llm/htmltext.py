@@ -51,7 +51,9 @@ _FRAME = "footer header nav aside".split()
 _BLOCK_TAGS = "p br div li ul ol tr td th table h1 h2 h3 h4 h5 h6 article section header footer nav aside main blockquote pre dl dt dd form hr figure body html".split()
 _HELD = 4 << 20
 
-_DROPPED = re.compile(rb"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(noscript|template|svg)\b.*?</\2\s*>|<head\b.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
+_MARK = re.compile(rb"<!--|-->|<(/?)(script|style)(?![a-z0-9-])", re.I)
+#: Units (tasks) whose news are in one folder.
+_UNITS = 64
 _NAME = B._table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-")
 _OPENS = B._table(b"/!?abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -71,11 +73,42 @@ class Tokens:
     hash: np.ndarray
 
 
+def without_code(page: bytes) -> bytes:
+    """The page without its comments, scripts and styles, in one walk over where they begin and end.
+
+    One that isn't closed is text, so that it doesn't swallow the rest of the page.
+    """
+    marks = [(m.start(), m.end(), (m[2] or b"").lower(), m[0] == b"-->" or m[1] == b"/") for m in _MARK.finditer(page)]
+    if not marks:
+        return page
+    ends: dict[bytes, list[tuple[int, int]]] = {}
+    for start, end, name, closes in marks:
+        if closes:
+            ends.setdefault(name, []).append((start, end))
+    nth = dict.fromkeys(ends, 0)
+    out, at = [], 0
+    for start, end, name, closes in marks:
+        if closes or start < at or name not in ends:
+            continue
+        # Places of ends are only gone over once: what lies before one opening lies before the next.
+        while nth[name] < len(ends[name]) and ends[name][nth[name]][0] < end:
+            nth[name] += 1
+        if nth[name] == len(ends[name]):
+            continue
+        stop = ends[name][nth[name]][1]
+        if name:
+            close = page.find(b">", stop)
+            stop = close + 1 if close >= 0 else len(page)
+        out += [page[at:start], b" "]
+        at = stop
+    return b"".join([*out, page[at:]])
+
+
 def tokens(column: pa.LargeStringArray) -> Tokens:
-    """The tokens of each page, without comments, scripts, styles and the head."""
+    """The tokens of each page, without comments, scripts and styles."""
     raw, offsets = B.buffers(column)
     whole = raw.tobytes()
-    pages = [_DROPPED.sub(b" ", whole[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
+    pages = [without_code(whole[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
     data = np.frombuffer(b"".join(pages), np.uint8)
     offsets = np.cumsum([0] + [len(p) for p in pages])
     n = len(data)
@@ -278,7 +311,7 @@ def _markers(batch: pa.RecordBatch) -> np.ndarray:
     return B.mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(0xA24BAED4963EE407))
 
 
-def _merge(pages: DataFrame, find: Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, np.ndarray]], told: str | None, least_pages: int, name: str) -> str:
+def _merge(pages: DataFrame, find: Callable[[pa.RecordBatch, News], tuple[np.ndarray, np.ndarray]], told: str | None, least_pages: int, name: str) -> str:
     """The folder that tells each task which of its fingerprints are on enough distinct pages.
 
     ``find`` gives the fingerprints of a batch as (fingerprint, page of the batch), knowing what the folder ``told`` says. The
@@ -314,8 +347,8 @@ def _merge(pages: DataFrame, find: Callable[[pa.RecordBatch, np.ndarray], tuple[
 
     sent = pages.mapInArrow(of, "f long, n int, unit int")
     total = F.sum("n").over(Window.partitionBy("f"))
-    shared = sent.withColumn("total", total).where(F.col("total") >= least_pages).select("unit", "f")
-    shared.repartition(F.col("unit")).write.partitionBy("unit").parquet(folder)
+    shared = sent.withColumn("total", total).where(F.col("total") >= least_pages).select("unit", "f", F.floor(F.col("unit") / _UNITS).alias("units"))
+    shared.repartition("units").sortWithinPartitions("units", "unit").write.partitionBy("units").parquet(folder)
     return folder
 
 
@@ -324,23 +357,45 @@ class News:
 
     def __init__(self, folder: str | None, unit: int):
         self.folder, self.unit = folder, unit
-        self.known = np.zeros(0, np.uint64)
-        self.read = folder is None
+        self.known: np.ndarray | None = None
+        self.own = True
 
-    def _load(self, path: str) -> np.ndarray:
+    def _files(self, path: str) -> Iterator[pq.ParquetFile]:
         fs, root = pafs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (pafs.LocalFileSystem(), self.folder)
         found = fs.get_file_info(pafs.FileSelector(f"{root}/{path}", recursive=True, allow_not_found=True))
-        files = [f.path for f in found if f.is_file and f.path.endswith(".parquet")]
-        got = [pq.ParquetFile(fs.open_input_file(f)).read(["f"])["f"].to_numpy().view(np.uint64) for f in files]
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *got]))
-
-    def of(self, batch: pa.RecordBatch) -> np.ndarray:
-        if not self.read:
-            self.known, self.read = self._load(f"unit={self.unit}"), True
-        if self.folder is not None and not within(_markers(batch), self.known).all():
-            # The source gave this task other pages than before: what all were told holds for any page.
-            self.known = self._load("")
-        return self.known
+        for f in found:
+            if f.is_file and f.path.endswith(".parquet"):
+                yield pq.ParquetFile(fs.open_input_file(f.path))
+
+    def _told(self) -> np.ndarray:
+        got = [np.zeros(0, np.uint64)]
+        for file in self._files(f"units={self.unit // _UNITS}"):
+            for n in range(file.num_row_groups):
+                at = file.metadata.row_group(n).column(file.schema_arrow.get_field_index("unit")).statistics
+                if at is None or not at.has_min_max or at.min <= self.unit <= at.max:
+                    rows = file.read_row_group(n, ["unit", "f"])
+                    got.append(rows["f"].to_numpy()[rows["unit"].to_numpy() == self.unit].view(np.uint64))
+        return np.unique(np.concatenate(got))
+
+    def of(self, batch: pa.RecordBatch) -> News:
+        if self.folder is not None:
+            if self.known is None:
+                self.known = self._told()
+            # Where the source gave this task other pages than before, it has to ask what all were told.
+            self.own = bool(within(_markers(batch), self.known).all())
+        return self
+
+    def knows(self, values: np.ndarray) -> np.ndarray:
+        """Which of the batch's fingerprints are shared."""
+        if self.own:
+            return within(values, self.known if self.known is not None else np.zeros(0, np.uint64))
+        # What any page was told holds for all; it is gone through in pieces, and only what is asked for is kept.
+        asked = np.unique(values)
+        found = np.zeros(len(asked), bool)
+        for file in self._files(""):
+            for rows in file.iter_batches(1 << 16, columns=["f"]):
+                found |= np.isin(asked, rows.column(0).to_numpy().view(np.uint64))
+        return within(values, asked[found])
 
 
 def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages: int = PAGES, few: int | None = None) -> DataFrame:
@@ -354,7 +409,8 @@ def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages:
     nothing but shared blocks. Rows that
     repeat a page_id are one page (that of the least url and html) and give one row; rows with a null page_id
     are pages of their own. A substring that is repeated on one page only is kept. Pages are read whole, however
-    long. An empty table gives no rows; other columns aren't looked at. Different substrings are taken for
+    long: all text counts, that of the title and of noscript, template and svg elements, too, but for comments, scripts and
+    styles; where such a one isn't closed, it is text. An empty table gives no rows; other columns aren't looked at. Different substrings are taken for
     equal if their 64-bit fingerprints are, which a corpus of 10^9 distinct ones has a chance of 3 in 100 for.
     """
     own = pages.select(q("page_id").cast("long").alias("page_id"), q("url").cast("string").alias("url"), q("html").cast("string").alias("html"))
@@ -365,19 +421,19 @@ def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages:
     base = own.select(F.xxhash64("page_id", "url").alias("marker"), F.xxhash64(host).alias("salt"), F.coalesce("html", F.lit("")).alias("html"), "page_id", host.alias("host"))
     slim = base.select("marker", "salt", "html")
 
-    def gram_anchors(batch: pa.RecordBatch, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def gram_anchors(batch: pa.RecordBatch, _: News) -> tuple[np.ndarray, np.ndarray]:
         t = tokens(B.strings(batch.column(2)))
         salt = _salts(batch, t)
         g, a = anchored(t, salt, least, gram)
         there = np.unique(a[suffixes(t, salt, least)[0]])
         return g[there], t.page[there]
 
-    def candidates(batch: pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(batch: pa.RecordBatch, news: News) -> tuple[np.ndarray, np.ndarray]:
         t = tokens(B.strings(batch.column(2)))
         salt = _salts(batch, t)
         g, a = anchored(t, salt, least, gram)
         at, f = suffixes(t, salt, least)
-        can = within(g[a[at]], known)
+        can = news.knows(g[a[at]])
         first, _, b = blocks(t, salt, least, few)
         return np.concatenate([f[can], b]), t.page[np.concatenate([at[can], first])]
 
@@ -391,8 +447,8 @@ def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages:
                 salt = _salts(part, t)
                 at, f = suffixes(t, salt, least)
                 first, size, b = blocks(t, salt, least, few)
-                known = news.of(part)
-                at, shared = at[within(f, known)], within(b, known)
+                shared = news.of(part).knows(np.concatenate([f, b]))
+                at, shared = at[shared[: len(f)]], shared[len(f) :]
                 boiler = covered(t, np.concatenate([at, first[shared]]), np.concatenate([np.full(len(at), least), size[shared]]))
                 text, runs, left, total = kept_text(t, boiler, part.num_rows)
                 ints = [pa.array(v.astype(np.int32)) for v in (runs, left, total)]
