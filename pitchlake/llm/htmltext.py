@@ -1,19 +1,19 @@
 """Main text of web pages: what the pages of a host have in common is found by a host suffix array and left out.
 
-A page is a stream of tokens: tags by their names, and words. The token streams of a host's pages stand one after
-the other; its suffixes are sorted to a depth of ``LEAST`` tokens, each page's own, and neighbours that are
-equal that far and come from different pages are substrings that these pages share. All tokens covered by such a
-substring are boilerplate; the runs between are kept.
+A page is a stream of tokens: tags by their names, and words. Each task concatenates the streams of its pages, a run of pages at a
+time, and builds their suffix array by prefix doubling, tokens mixed with their host: neighbours that have ``LEAST``
+tokens and more in common are repeats, and so is whatever longer substring they begin. Every substring of ``LEAST`` tokens
+that the run holds is then one entry, with the pages that it is on. All tokens covered by a
+substring that is on several pages of the host are boilerplate; the runs between are kept.
 
 Template blocks that are shorter than that, as most footers are, stand between unique text and the end of a page, so that
 no substring of ``LEAST`` tokens covers them. They are judged whole: what stands between two block tags with ``FEW``
 words at least, and a footer, header, navigation or aside with any words, is boilerplate, too, if it is on other pages of the host.
 
-The suffix array is a distributed one. Suffixes go by the 64-bit fingerprint of their first ``LEAST`` tokens with their
-host, which is all that a depth of ``LEAST`` needs; each task sorts those of its own pages, and the sorted runs are
-merged by ranges of the fingerprint. Only suffixes that can be shared are sent. Winnowing sees to that: of the
-``GRAM``-token grams of a suffix's first ``LEAST`` tokens the one with the least hash is its anchor, equal suffixes have equal
-anchors, and few places are anchors. Anchors are merged first, and suffixes whose anchor is on one
+The sorted runs of all tasks are merged by ranges of the 64-bit fingerprint of an entry's ``LEAST`` tokens with their host, as hosts
+may be of any size. Only entries that can be shared are sent. Winnowing sees to that: of the
+``GRAM``-token grams of an entry's ``LEAST`` tokens the one with the least hash is its anchor, equal entries have equal
+anchors, and few places are anchors. Anchors are merged first, and entries whose anchor is on one
 page only are left at home (Schleimer, Wilkerson and Aiken, 2003).
 
 Pages aren't moved: each of the three passes reads them from their source. After a merge, every task is told which of the
@@ -211,6 +211,80 @@ def suffixes(t: Tokens, salt: np.ndarray, least: int) -> tuple[np.ndarray, np.nd
     return whole, f[whole]
 
 
+@dataclass
+class SuffixArray:
+    """Suffixes in order, and how many tokens each has in common with the one before it."""
+
+    order: np.ndarray
+    common: np.ndarray
+
+
+def suffix_array(token: np.ndarray, page: np.ndarray) -> SuffixArray:
+    """All suffixes of the pages' streams, one after the other, by prefix doubling; each ends with its page.
+
+    Suffixes that have the same first 2^k tokens have the same rank in round k; only those that tie are sorted again, by the rank of what
+    comes 2^k tokens later, until none tie. The common prefix of neighbours is put together from the ranks of the rounds.
+    """
+    n = len(token)
+    order = np.argsort(token, kind="stable")
+    at = np.flatnonzero(np.append(True, token[order][1:] != token[order][:-1])) if n else np.zeros(0, np.int64)
+    size = np.diff(np.append(at, n))
+    rank = np.empty(n, np.int64)
+    rank[order] = np.repeat(at, size)
+    end = _ends(page)
+    ranks, step = [rank.astype(np.int32)], 1
+    tied = np.repeat(size > 1, size)
+    while tied.any():
+        place = np.flatnonzero(tied)
+        own = order[place]
+        later = own + step
+        # Past the page's end stands the page itself, which is different from all tokens and other pages.
+        second = np.where(later < end[own], rank[np.minimum(later, n - 1)], -1 - page[own])
+        by = np.lexsort((second, rank[own]))
+        own, first, second = own[by], rank[own[by]], second[by]
+        order[place] = own
+        new = np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(own)))
+        rank[own] = np.repeat(place[at], size)
+        tied[place] = np.repeat(size > 1, size)
+        ranks.append(rank.astype(np.int32))
+        step *= 2
+    common = np.zeros(n, np.int64)
+    if n:
+        a, b = order[:-1].copy(), order[1:].copy()
+        for k in range(len(ranks) - 1, -1, -1):
+            inside = (a < n) & (b < n)
+            same = inside & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
+            same &= (a + (1 << k) <= end[order[:-1]]) & (b + (1 << k) <= end[order[1:]])
+            common[1:] += same * (1 << k)
+            a += same * (1 << k)
+            b += same * (1 << k)
+    return SuffixArray(order, common)
+
+
+def _ends(page: np.ndarray) -> np.ndarray:
+    """Where each token's page ends."""
+    last = np.append(np.flatnonzero(page[1:] != page[:-1]) + 1, len(page)) if len(page) else page
+    return np.repeat(last, np.diff(np.append(0, last)))
+
+
+def repeats(t: Tokens, salt: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """One place and its page for each substring of ``least`` tokens and each page of the run that it is on.
+
+    Substrings are the runs of the suffix array whose neighbours have ``least`` tokens and more in common.
+    """
+    end = _ends(t.page)
+    sa = suffix_array(B.mix(t.hash ^ salt), t.page)
+    long = end[sa.order] - sa.order >= least
+    order, fresh = sa.order[long], (sa.common < least)[long]
+    run = np.cumsum(fresh)
+    by = np.lexsort((order, t.page[order], run))
+    order, run = order[by], run[by]
+    first = np.append(True, (run[1:] != run[:-1]) | (t.page[order][1:] != t.page[order][:-1])) if len(order) else np.zeros(0, bool)
+    return order[first], t.page[order[first]]
+
+
 def anchored(t: Tokens, salt: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all grams, and for each place the place of its anchor."""
     g = grams(t.hash, gram, salt)
@@ -431,11 +505,12 @@ def extract(pages: DataFrame, least: int = LEAST, gram: int = GRAM, least_pages:
     def candidates(batch: pa.RecordBatch, news: News) -> tuple[np.ndarray, np.ndarray]:
         t = tokens(B.strings(batch.column(2)))
         salt = _salts(batch, t)
+        first, _, b = blocks(t, salt, least, few)
+        at, page = repeats(t, salt, least)
         g, a = anchored(t, salt, least, gram)
-        at, f = suffixes(t, salt, least)
         can = news.knows(g[a[at]])
-        first, _, b = blocks(t, salt, least, few)
-        return np.concatenate([f[can], b]), t.page[np.concatenate([at[can], first])]
+        f = grams(t.hash, least, salt)
+        return np.concatenate([f[at[can]], b]), np.concatenate([page[can], t.page[first]])
 
     told = _merge(slim, candidates, _merge(slim, gram_anchors, None, least_pages, "anchors"), least_pages, "suffixes")
 

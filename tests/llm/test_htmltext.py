@@ -72,6 +72,23 @@ def test_equals_brute_force(spark, seed, parts):
         assert all(r["n_kept"] <= r["n_words"] and r["host"] in ("a.org", "b.org", "c.org") for r in got.values())
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_suffix_array_equals_sorted_suffixes(seed):
+    r = random.Random(seed)
+    page = np.repeat(np.arange(8), [r.randint(0, 40) for _ in range(8)])
+    token = np.array([r.randrange((2, 3, 50)[seed % 3]) for _ in page], np.uint64)
+    sa = H.suffix_array(token, page)
+    end = {int(p): int(np.flatnonzero(page == p)[-1]) + 1 for p in page}
+    text = {i: token[i : end[int(page[i])]].tolist() for i in range(len(page))}
+    assert sorted(sa.order) == list(range(len(page)))
+    # What is over comes first, ended pages by falling number.
+    key = lambda i: [(1, x) for x in text[i]] + [(0, -int(page[i]))]
+    assert list(sa.order) == sorted(range(len(page)), key=key)
+    for k in range(1, len(page)):
+        a, b = text[sa.order[k - 1]], text[sa.order[k]]
+        assert sa.common[k] == next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def test_tokens_of_odd_markup():
     pages = ["", "x", "<p>a<b>c</b", "a < b <", "<a href='>'>t", "<!-- never ends", "<p <i>x</i>", "1<2 <P>é</P>", "<head><title>x</title><body>y", "<head>z", "<svg>open", "<p>a</p><script>x <p>found</p>", "<style>a</style >b<STYLE x>c</style\n>d", "<script>1</script x", "<scripts>t</scripts>", "a<!--->b-->c", "<!-- <script> -->x<script>'<!--'</script>y-->"]
     t = H.tokens(B.strings(pa.array(pages)))
