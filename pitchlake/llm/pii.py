@@ -1,11 +1,11 @@
 """Personal data by a skip-chain conditional random field.
 
-Tokens are runs of letters, digits and ``@ . _ + -``; those with a digit or an ``@`` are nodes, all others are
-observed to be outside. Neighbouring nodes share a transition potential. Over any distance, each node also
+Tokens are runs of letters, digits and ``@ . _ + -``; those with a digit or an ``@``, long ones and those that a word for
+a secret assigns (``password: ...``) are nodes, all others are observed to be outside. Neighbouring nodes share a transition potential. Over any distance, each node also
 shares a potential with the next equal token and with the next token of the same shape in its document,
 so that a clear mention settles the unclear ones. Loopy max-product message passing finds the labels of
-the whole document (Sutton and McCallum, 2004). The weights are fitted on generated text, where the labels
-are known.
+the whole document (Sutton and McCallum, 2004). The weights maximise the likelihood of the labels of generated text,
+with the expectations that loopy sum-product gives.
 """
 
 from __future__ import annotations
@@ -38,7 +38,11 @@ PER_NODE = 4
 #: Generated documents that the weights are fitted on.
 GENERATED = 600
 SEED = 5
-MARGIN = 1.0
+#: Steps of the fit, and how far the first one goes.
+STEPS = 60
+RATE = 15
+#: Letters and more of a token without digits that is a node for its length.
+LONG = 24
 
 TOKEN = B._table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ@._+-", high=True)
 MARK = B._table(b"0123456789@")
@@ -47,7 +51,8 @@ _EDGE = b"._-"
 CHAIN, SAME, LIKE = range(3)
 
 _WORDS = {
-    "secret": "token key secret password passwd pwd apikey api_key auth bearer credential credentials".split(),
+    "password": "password passwd pwd passphrase".split(),
+    "secret": "token key secret apikey api_key auth bearer credential credentials".split(),
     "phone": "phone tel call fax mobile telephone telefon".split(),
     "card": "card visa mastercard credit kreditkarte tarjeta carte".split(),
     "ip": "ip host address server addr".split(),
@@ -82,8 +87,12 @@ _SHAPES = [
     ("mixed long", re.compile(r"(?=.*[a-z])(?=.*\d)[a-z0-9_-]{16,}")),
     ("mixed short", re.compile(r"(?=.*[a-z])(?=.*\d)[a-z0-9_.-]{2,15}")),
     ("prefixed", re.compile(r"(sk|pk|ghp|gho|xox[bp]|akia|glpat)[a-z0-9_-]{12,}")),
+    ("letters", re.compile(r"[^\W\d_]{1,15}")),
+    ("long letters", re.compile(r"[^\W\d_]{16,}")),
+    ("epoch", re.compile(r"1\d{9}(\d{3})?")),
+    ("hextet", re.compile(r"[0-9a-f]{1,4}")),
 ]
-FEATURES = ["always"] + [n for n, _ in _SHAPES] + ["no shape", "luhn", "after =", "after :", "quoted", "in brackets", "line start", "joined before", "joined after", "both long"] + sorted(set(_OF_WORD.values())) + ["after word"]
+FEATURES = ["always"] + [n for n, _ in _SHAPES] + ["no shape", "luhn", "isbn", "assigned secret", "between colons", "after =", "after :", "quoted", "in brackets", "line start", "joined before", "joined after", "both long"] + sorted(set(_OF_WORD.values())) + ["after word"]
 _F = {name: k for k, name in enumerate(FEATURES)}
 
 
@@ -96,6 +105,8 @@ def _shape_features(token: str) -> tuple[int, ...]:
         total = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(token)))
         if total % 10 == 0:
             got.append(_F["luhn"])
+        if len(token) == 13 and token[:3] in ("978", "979") and sum(int(c) * (1, 3)[k % 2] for k, c in enumerate(token)) % 10 == 0:
+            got.append(_F["isbn"])
     return (0, *got)
 
 
@@ -120,7 +131,8 @@ def nodes(column: pa.LargeStringArray) -> Nodes:
     start, end, row = B.runs(TOKEN, data, offsets)
     marks = np.zeros(len(data) + 1, np.int32)
     np.cumsum(MARK[data], out=marks[1:], dtype=np.int32)
-    at = np.flatnonzero(marks[end] > marks[start])
+    assigned = _assigned(data, start, end, row)
+    at = np.flatnonzero((marks[end] > marks[start]) | (end - start >= LONG) | assigned)
     raw = data.tobytes() if len(at) else b""
     begins, ends, tokens, features = [], [], [], []
     kept = []
@@ -146,6 +158,10 @@ def nodes(column: pa.LargeStringArray) -> Nodes:
         low = int(end[t - 1]) if t and row[t - 1] == r else int(offsets[r])
         gap = whole[low : begins[n]].tobytes() if begins[n] - low < 64 else whole[begins[n] - 64 : begins[n]].tobytes()
         before = whole[max(start[t - 1], end[t - 1] - 16) : end[t - 1]].tobytes().decode("utf-8", "ignore").lower().strip("._-") if t and row[t - 1] == r and begins[n] - low <= 4 else ""
+        if assigned[t]:
+            f.append(_F["assigned secret"])
+        if gap[-1:] == b":" and whole[ends[n] : ends[n] + 1].tobytes() == b":":
+            f.append(_F["between colons"])
         if b"=" in gap:
             f.append(_F["after ="])
         if b":" in gap:
@@ -177,6 +193,32 @@ def nodes(column: pa.LargeStringArray) -> Nodes:
     return Nodes(rows, begins, ends, [tuple(f) for f in features], np.array(edges, np.int64).reshape(-1, 3))
 
 
+@lru_cache(1)
+def _secret_words() -> np.ndarray:
+    words = sorted({w.replace("_", sep) for w in _WORDS["password"] + _WORDS["secret"] for sep in "_-"} - {"auth", "bearer"})
+    raw, size = "".join(words).encode(), np.array([len(w) for w in words])
+    ends = np.cumsum(size)
+    return np.sort(B.hashes(np.frombuffer(raw, np.uint8), ends - size, ends))
+
+
+def _assigned(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Tokens that follow a word for a secret with a colon or an equals sign, and spaces and a quote at most, between."""
+    out = np.zeros(len(start), bool)
+    if len(start) < 2:
+        return out
+    near = np.flatnonzero((row[1:] == row[:-1]) & (start[1:] - end[:-1] <= 4))
+    sign = np.zeros(len(near), bool)
+    for k in range(4):
+        at = np.minimum(end[near] + k, len(data) - 1)
+        sign |= (end[near] + k < start[near + 1]) & ((data[at] == 58) | (data[at] == 61))
+    near = near[sign]
+    known = _secret_words()
+    h = B.hashes(B.LOWER[data], start[near], end[near])
+    place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    out[near[known[place] == h] + 1] = True
+    return out
+
+
 @dataclass
 class Weights:
     unary: np.ndarray  # features x labels
@@ -280,17 +322,18 @@ def _hex(r: random.Random, n: int) -> str:
 
 def _mention(r: random.Random) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """A mention as (text, label) parts, and the parts that a later bare mention has."""
-    kind = r.choice(["email", "ip", "token", "token", "key", "card", "card", "cards", "card4", "phone", "phone", "phone2", "phone3", "ssn", "iban", "year", "version", "number", "date", "sha", "dotted", "order", "price", "code", "list"])
+    kind = r.choice(["email", "ip", "token", "token", "key", "card", "card", "cards", "card4", "phone", "phone", "phone2", "phone3", "ssn", "iban", "year", "version", "number", "date", "sha", "dotted", "order", "price", "code", "list", "plain secret", "prose", "isbn", "epoch", "ipv6", "phone4", "long word"])
     s = lambda x: (x, "O")
     if kind == "email":
-        m = [(f"{_word(r)}{r.choice(['.', '', '_', '-'])}{_digits(r, r.randint(0, 3))}@{_word(r)}{r.choice(['', _digits(r, 1)])}.{r.choice(['example.', ''])}{r.choice(['com', 'org', 'net', 'de', 'io'])}", "EMAIL")]
+        m = [(f"{_word(r)}{r.choice(['.', '', '_', '-'])}{_digits(r, r.randint(0, 3))}@{_word(r)}{r.choice(['', _digits(r, 1)])}.{r.choice(['mail.', ''])}{r.choice(['com', 'org', 'net', 'de', 'io'])}", "EMAIL")]
         return r.choice([[], [], [s("mail: ")]]) + m, m
     if kind == "ip":
         m = [(".".join(str(r.randint(1, 255)) for _ in range(4)), "IP")]
         return r.choice([[], [], [s("host ")], [s("address: ")]]) + m, m
     if kind == "token":
         m = [(_hex(r, r.choice([32, 40, 40, 64])), "SECRET")]
-        return r.choice([[s(r.choice(["token", "secret", "password", "api_key", "key"]) + r.choice([" = ", "=", ": "]) + '"'), *m, s('"')], m]), m
+        quote = r.choice(["", "'", '"'])
+        return r.choice([[s(r.choice(["token", "secret", "password", "api_key", "key"]) + r.choice([" = ", "=", ": "]) + quote), *m, s(quote)], m]), m
     if kind == "key":
         m = [(r.choice(["sk_live_", "AKIA", "ghp_", "pk_test_"]) + "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMN23456789") for _ in range(24)) + "7a", "SECRET")]
         return r.choice([[s("key="), *m], m]), m
@@ -332,6 +375,31 @@ def _mention(r: random.Random) -> tuple[list[tuple[str, str]], list[tuple[str, s
             for _ in range(4):
                 m += [s(" "), (_digits(r, 4), "I-ID")]
         return r.choice([[], [s("IBAN ")]]) + m, m
+    if kind == "plain secret":
+        word = r.choice([_word(r) + _word(r), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice([12, 24, 40])))])
+        m = [(word, "SECRET")]
+        if r.random() < 0.5:
+            return [s(r.choice(["password", "passwd", "pwd"]) + r.choice([": ", "=", " = ", ": '", '="'])), *m], m
+        return [s(r.choice(["token", "api_key", "secret", "key"]) + r.choice(["=", " = ", ": '", '="'])), *m], m
+    if kind == "prose":
+        return [s(f"{r.choice(['token', 'key', 'secret', 'auth'])}: "), (_word(r), "O"), s(f" {_word(r)}")], []
+    if kind == "isbn":
+        d = r.choice(["978", "979"]) + _digits(r, 9)
+        m = [(d + str(-sum(int(c) * (1, 3)[k % 2] for k, c in enumerate(d)) % 10), "O")]
+        return r.choice([[], [s("ISBN ")]]) + m, m
+    if kind == "epoch":
+        m = [("1" + r.choice("4567") + _digits(r, 8) + r.choice(["", "000", _digits(r, 3)]), "O")]
+        return r.choice([[], [s("at ")], [s("timestamp: ")]]) + m, m
+    if kind == "ipv6":
+        parts = [f"{r.randint(0, 65535):x}" for _ in range(8)]
+        m = [(v, "IP") if k % 2 == 0 else s(":") for k, v in enumerate(x for p in parts for x in (p, ":"))][:-1]
+        return r.choice([[], [s("host ")]]) + m, m
+    if kind == "phone4":
+        m = [(_digits(r, r.choice([3, 4])), "B-PHONE"), s(") "), (_digits(r, 4), "I-PHONE"), s(" "), (_digits(r, 4), "I-PHONE")]
+        return [s("("), *m], []
+    if kind == "long word":
+        m = [("".join(_word(r) for _ in range(9)), "O")]
+        return m, m
     if kind == "sha":
         m = [(_hex(r, 40), "O")]
         return [s(r.choice(["commit ", "sha ", "revision "])), *m], m
@@ -339,7 +407,7 @@ def _mention(r: random.Random) -> tuple[list[tuple[str, str]], list[tuple[str, s
         m = [(".".join(_digits(r, 1) for _ in range(r.choice([3, 4]))), "O")]
         return [s(r.choice(["version ", "release ", "section ", "v "])), *m], m
     plain = {"year": str(r.randint(1800, 2100)), "version": f"{r.randint(1, 9)}.{r.randint(0, 12)}", "number": _digits(r, r.randint(1, 9)).lstrip("0") or "7", "date": f"{r.randint(1990, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", "order": _digits(r, r.randint(5, 12)), "price": f"{r.randint(1, 999)}.{_digits(r, 2)}", "code": r.choice([f"{_word(r)}{_digits(r, 2)}", f"b{_digits(r, 2)}-{_word(r)}", "h2o", "3rd", "mp3"]), "list": " ".join(_digits(r, r.randint(1, 4)) for _ in range(r.randint(2, 6)))}[kind]
-    lead = {"year": ["in ", "since ", ""], "version": ["version ", "Version ", "v ", "BY-NC "], "order": ["order ", "invoice ", "no. "], "number": ["", "page ", "item "]}.get(kind, [""])
+    lead = {"year": ["in ", "since ", ""], "version": ["version ", "Version ", "v ", "GPL ", "CC "], "order": ["order ", "invoice ", "no. "], "number": ["", "page ", "item "]}.get(kind, [""])
     return [s(r.choice(lead) + plain)], [s(plain)]
 
 
@@ -383,11 +451,41 @@ def labelled(docs: list[list[tuple[str, str]]]) -> tuple[Nodes, np.ndarray]:
     return found, true[found.end - 1]
 
 
-def fit(docs: int = GENERATED, seed: int = SEED, steps: int = 100) -> Weights:
-    """Weights fitted on generated documents: each node by itself first, then max-margin steps for all potentials.
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
+
 
-    A step decodes with the weights as they are (a wrong label being worth ``MARGIN`` more) and moves them
-    from what was decoded towards the truth; the weights of the second half of the steps are averaged.
+def marginals(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = 6, damping: float = DAMPING) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each node's labels and of each edge's pairs of labels, by loopy sum-product; exact without loops."""
+    i, j, kind = edges.T
+    src, dst = np.concatenate([i, j]), np.concatenate([j, i])
+    k = unary.shape[1]
+    unary, pair = unary.astype(np.float32), pair.astype(np.float32)
+    psi = np.concatenate([pair[kind], pair[kind].transpose(0, 2, 1)])
+    back = np.concatenate([np.arange(len(i)) + len(i), np.arange(len(i))])
+    message = np.zeros((len(src), k), np.float32)
+    order = np.argsort(dst, kind="stable")
+    linked, cuts = np.unique(dst[order], return_index=True)
+    belief = unary.copy()
+    for _ in range(rounds if len(edges) else 0):
+        new = _log_sum(psi + (belief[src] - message[back])[:, :, None], 1)
+        message = np.float32(damping) * message + np.float32(1 - damping) * (new - _log_sum(new, 1)[:, None])
+        belief = unary.copy()
+        belief[linked] += np.add.reduceat(message[order], cuts, axis=0)
+    node = np.exp(belief - _log_sum(belief, 1)[:, None])
+    n = len(i)
+    both = pair[kind] + (belief[i] - message[n:])[:, :, None] + (belief[j] - message[:n])[:, None, :]
+    both = np.exp(both - _log_sum(both.reshape(n, -1), 1)[:, None, None]) if n else both
+    return node, both
+
+
+@lru_cache(4)
+def fit(docs: int = GENERATED, seed: int = SEED, steps: int = STEPS) -> Weights:
+    """Weights fitted on generated documents, once in a process: each node by itself first, then the whole field.
+
+    A step moves the weights towards the truth from what the field expects, which is the gradient of the likelihood; those
+    of the second half of the steps are averaged.
     """
     found, y = labelled(generated(docs, seed))
     n = len(y)
@@ -403,21 +501,19 @@ def fit(docs: int = GENERATED, seed: int = SEED, steps: int = 100) -> Weights:
         p /= p.sum(1, keepdims=True)
         w.unary -= 4 / (1 + step / 100) * (x.T @ (p - truth) / n * 4 + 1e-4 * w.unary)
 
-    def counts(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pair = np.zeros((3, K, K))
-        np.add.at(pair, (kind, label[i], label[j]), 1)
+    def by_kind(both: np.ndarray) -> np.ndarray:
+        pair = np.stack([both[kind == k].sum(0) for k in range(3)])
         for k in (SAME, LIKE):  # these have no direction
             pair[k] = (pair[k] + pair[k].T) / 2
-        return x.T @ np.eye(K)[label], pair
+        return pair
 
-    good = counts(y)
+    good = x.T @ truth, by_kind(truth[i][:, :, None] * truth[j][:, None, :])
     mean, taken = Weights(np.zeros_like(w.unary), np.zeros_like(w.pair)), 0
     for step in range(steps):
-        z = x @ w.unary + MARGIN * (1 - truth)
-        bad = counts(infer(z, found.edges, w.pair, rounds=6))
-        rate = 12 / n / (1 + step / 20)
-        w.unary += rate * ((good[0] - bad[0]) * 4 - 1e-4 * n * w.unary)
-        w.pair += rate * ((good[1] - bad[1]) * 4 - 1e-4 * n * w.pair)
+        node, both = marginals(x @ w.unary, found.edges, w.pair)
+        rate = RATE / n / (1 + step / 20)
+        w.unary += rate * (good[0] - x.T @ node - 1e-4 * n * w.unary)
+        w.pair += rate * (good[1] - by_kind(both) - 1e-4 * n * w.pair)
         if step >= steps // 2:
             mean.unary += w.unary
             mean.pair += w.pair
@@ -491,8 +587,9 @@ def find(docs: DataFrame) -> DataFrame:
     """Documents that hold personal data: (doc_id, text, entities, n_entities), the text with ``[LABEL]`` in its place.
 
     ``entities`` are (label, start, end) in order, in characters of the text as it was. Labels are EMAIL, IP,
-    SECRET, CARD, PHONE and ID. Null and empty texts hold none. Whole texts are read and every token with a
-    digit or an @ is judged, whatever the length. Rows that repeat a document give a row each; a null doc_id
+    SECRET, CARD, PHONE and ID. Null and empty texts hold none. Whole texts are read, whatever the length, and every token is judged that has a
+    digit or an @, is ``LONG`` or is assigned to a word for a secret. Names of persons and postal addresses, which have no form
+    of their own, aren't looked for. Rows that repeat a document give a row each; a null doc_id
     is carried. Equal scores go to the label that comes first in ``LABELS``. An empty table gives no rows;
     other columns aren't looked at.
     """

@@ -45,6 +45,25 @@ def test_messages_are_exact_without_loops():
         assert (got == best_labels(unary, edges, pair)[0]).all()
 
 
+def test_marginals_are_exact_without_loops():
+    r = np.random.default_rng(3)
+    unary, pair = r.normal(size=(6, 3)), r.normal(size=(3, 3, 3))
+    edges = np.array([(0, 1, 0), (1, 2, 0), (1, 3, 1), (3, 4, 2)])
+    node, both = P.marginals(unary, edges, pair, rounds=40)
+    every = list(itertools.product(range(3), repeat=6))
+    p = np.exp([sum(unary[i, y[i]] for i in range(6)) + sum(pair[t, y[i], y[j]] for i, j, t in edges) for y in every])
+    p /= p.sum()
+    want = np.zeros((6, 3))
+    for y, x in zip(every, p):
+        want[np.arange(6), y] += x
+    assert np.allclose(node, want, atol=1e-4)
+    for (i, j, _), b in zip(edges, both):
+        table = np.zeros((3, 3))
+        for y, x in zip(every, p):
+            table[y[i], y[j]] += x
+        assert np.allclose(b, table, atol=1e-4)
+
+
 def test_messages_are_close_with_loops():
     r = np.random.default_rng(2)
     same = 0
@@ -117,6 +136,14 @@ def test_held_out_accuracy_and_what_the_skips_add(weights):
     ("Licensed under CC BY-NC 4.0.", []),
     ("in 1999 there were 25 of 300, page 12, 3.50 each", []),
     ("7536784127813050 4845168114407329", [("CARD", "7536784127813050"), ("CARD", "4845168114407329")]),
+    ("password: hunter", [("SECRET", "hunter")]),
+    ("token=abcdefghijklmnop", [("SECRET", "abcdefghijklmnop")]),
+    ("the key: it is not", []),
+    ("and token of the key", []),
+    ("ISBN 9780306406157 and", []),
+    ("at 1609459200000 it", []),
+    ("call (020) 7946 0958 now", [("PHONE", "020) 7946 0958")]),
+    ("Donaudampfschifffahrtsgesellschaft", []),
     ("", []), ("no digits at all", []), (None, []),
 ])
 def test_cases(weights, text, want):
