@@ -53,7 +53,7 @@ _HELD = 4 << 20
 
 _MARK = re.compile(rb"<!--|-->|<(/?)(script|style)(?![a-z0-9-])", re.I)
 #: Units (tasks) whose news are in one folder.
-_UNITS = 64
+_UNITS = 16
 _NAME = B._table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-")
 _OPENS = B._table(b"/!?abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -422,7 +422,7 @@ def _merge(pages: DataFrame, find: Callable[[pa.RecordBatch, News], tuple[np.nda
     sent = pages.mapInArrow(of, "f long, n int, unit int")
     total = F.sum("n").over(Window.partitionBy("f"))
     shared = sent.withColumn("total", total).where(F.col("total") >= least_pages).select("unit", "f", F.floor(F.col("unit") / _UNITS).alias("units"))
-    shared.repartition("units").sortWithinPartitions("units", "unit").write.partitionBy("units").parquet(folder)
+    shared.repartition("unit").sortWithinPartitions("units", "unit").write.partitionBy("units").parquet(folder)
     return folder
 
 

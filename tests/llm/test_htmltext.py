@@ -119,7 +119,7 @@ def test_other_pages_in_a_task_than_before(spark, tmp_path):
     """A task that isn't told of its pages goes through what all tasks were told."""
     batch = pa.record_batch([pa.array([5]), pa.array([0]), pa.array(["x"])], ["marker", "salt", "html"])
     asked = np.array([10, 11, 12, 13, 13], np.uint64)
-    spark.createDataFrame([(0, 0, 11), (0, 3, 12), (1, 70, 13)], "units int, unit int, f long").write.partitionBy("units").parquet(str(tmp_path / "told"))
+    spark.createDataFrame([(0, 0, 11), (0, 3, 12), (1, 18, 13)], "units int, unit int, f long").write.partitionBy("units").parquet(str(tmp_path / "told"))
     news = H.News(str(tmp_path / "told"), 3)
     assert list(news.of(batch).knows(asked)) == [False, True, True, True, True] and list(news.known) == [12]
     own = int(H._markers(batch).view("int64")[0])
