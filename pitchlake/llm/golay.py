@@ -104,6 +104,12 @@ def packed(total: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
+def shares(total: np.ndarray) -> np.ndarray:
+    """The sums as bytes, as shares of the greatest of each fingerprint: what decoding takes for how sure a bit is."""
+    most = np.maximum(np.abs(total).max(1, keepdims=True), 1e-9) if len(total) else 1
+    return np.rint(total / most * 127).astype(np.int8)
+
+
 def keys(total: np.ndarray, keyed: int = KEYED, number: int = 0) -> np.ndarray:
     """The keys of the first ``keyed`` segments of each document, a row of C(keyed, CHOSEN) * NEAREST ** CHOSEN.
 
@@ -144,7 +150,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in B.slices(batch, "text"):
             total = sums(B.strings(part.column(1)))
             there = total.any(1)
-            yield pa.record_batch([part.column(0), part.column(2), pa.array([t.tobytes() if ok else None for t, ok in zip(packed(total), there)], pa.binary()), pa.array([t.tobytes() if ok else None for t, ok in zip(np.clip(total * 2, -32767, 32767).astype("<i2"), there)], pa.binary())], ["id", "text_hash", "print", "total"])
+            yield pa.record_batch([part.column(0), part.column(2), pa.array([t.tobytes() if ok else None for t, ok in zip(packed(total), there)], pa.binary()), pa.array([t.tobytes() if ok else None for t, ok in zip(shares(total), there)], pa.binary())], ["id", "text_hash", "print", "total"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +158,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for lo in range(0, len(ids), 2048):
             part = batch.slice(lo, 2048)
-            total = np.frombuffer(b"".join(part.column(1).to_pylist()), "<i2").reshape(part.num_rows, SEGMENTS * BITS)
+            total = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int8).reshape(part.num_rows, SEGMENTS * BITS)
             k = all_keys(total)
             yield pa.record_batch([pa.array(k.ravel()), pa.array(np.repeat(ids[lo : lo + 2048], k.shape[1]))], ["key", "id"])
 
