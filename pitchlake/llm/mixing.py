@@ -15,6 +15,8 @@ DEFAULT_WEIGHT = 1
 #: No document is used more often than this.
 MAX_EPOCHS = 4
 SEED = 17
+#: Bytes of the table of sources up to which it is broadcast; a larger one is joined by a shuffle, whose hot sources are split.
+BROADCAST_BYTES = 8 << 20
 
 
 def plan(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, max_epochs: int = MAX_EPOCHS, budget: int | None = None) -> DataFrame:
@@ -77,7 +79,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, default_weight:
     number = F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     copies = (F.floor(q(epochs)) + F.when(number < q(epochs) - F.floor(q(epochs)), 1).otherwise(0)).cast("int")
     numbers = F.explode(F.sequence(F.lit(1), q(draw)))
-    # How the two are joined is left to the optimizer, which knows their sizes; hot sources are split by it, too.
+    size = epochs_of.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(q(source)), F.lit(0)) + 32), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:  # or a shuffle would move all texts
+        epochs_of = F.broadcast(epochs_of)
     got = docs.join(epochs_of, q("source").cast("string").eqNullSafe(q(source))).withColumn(draw, copies).where(q(draw) > 0)
     return got.select(*[q(c) for c in keep], numbers.alias(copy or source)).select(*[q(c) for c in keep], *([q(copy)] if copy else []))
 

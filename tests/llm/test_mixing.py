@@ -54,6 +54,13 @@ def test_many_sources(spark):
     assert got.keys() == want.keys() and max(abs(got[s] - want[s]) for s in want) < 1e-9
 
 
+def test_a_large_table_of_sources_is_joined_by_a_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame(made(3), DDL)
+    want = sorted(tuple(r) for r in M.mix(df).collect())
+    monkeypatch.setattr(M, "BROADCAST_BYTES", 0)
+    assert sorted(tuple(r) for r in M.mix(df).collect()) == want
+
+
 def test_weights_of_any_names_in_sql(spark):
     import duckdb
 
