@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.lineage import checkpoint_folder, written
+
 MASK64 = (1 << 64) - 1
 
 
@@ -17,16 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the cluster's shared checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests
-    on one machine) is a temporary one made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoint"))
-    return df.checkpoint(eager=True)
+    """Write the rows to the cluster's shared checkpoint folder (``spark.checkpoint.dir``) and go on from there."""
+    return written(df)
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -65,6 +58,5 @@ def unit_hash(*parts: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path under the session's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("shared")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path under the session's ``spark.checkpoint.dir``."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
