@@ -68,6 +68,27 @@ def test_coco_round_trip(spark, tmp_path):
     assert "license" in "".join(p.read_text() for p in (tmp_path / "lines" / "images").glob("*.json"))
 
 
+def test_coco_of_more_than_one_document_loses_nothing(spark, tmp_path):
+    images = spark.range(60).select("id", F.concat(F.lit("ü"), F.col("id")).alias("file_name"), F.lit(4).alias("width"), F.lit(3).alias("height"), F.lit(None).cast("int").alias("license"), F.lit(None).cast("string").alias("date_captured"))
+    # ids against the order of images, image 7 has most, 70 isn't listed
+    image = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") == 1, 70).otherwise(59 - F.col("id") % 60)
+    annotations = spark.range(300).select("id", image.cast("long").alias("image_id"), F.lit(2).alias("category_id"), F.array(F.lit(1.0)).alias("bbox"), F.lit(1.0).alias("area"), F.array().cast("array<array<double>>").alias("segmentation"), F.lit(0).alias("iscrowd"), F.lit(None).cast("double").alias("score"))
+    (one,) = files.coco_document(images, annotations, V.categories(spark), {"description": "d"}).collect()
+    whole, docs = json.loads(one["json"]), files.coco_document(images, annotations, V.categories(spark), {"description": "d"}, most=4000)
+    several = [json.loads(r["json"]) for r in docs.collect()]
+    assert 5 < len(several) < 20 and all(d["categories"] == whole["categories"] and d["info"] == whole["info"] for d in several)
+    for section in ("images", "annotations"):
+        assert [x["id"] for x in whole[section]] == list(range(len(whole[section])))
+        assert all([x["id"] for x in d[section]] == sorted(x["id"] for x in d[section]) for d in several)
+        assert sorted((x for d in several for x in d[section]), key=lambda x: x["id"]) == whole[section]
+    place = {x["id"]: k for k, d in enumerate(several) for x in d["images"]}
+    assert all(place.get(x["image_id"], k) == k for k, d in enumerate(several) for x in d["annotations"])
+    files.write_coco(docs, str(tmp_path / "coco"))
+    assert files.read_coco(spark, str(tmp_path / "coco"))["annotations"].count() == 300
+    (empty,) = files.coco_document(images.limit(0), annotations.limit(0), V.categories(spark), {}).collect()
+    assert json.loads(empty["json"])["images"] == json.loads(empty["json"])["annotations"] == []
+
+
 def test_voc_escapes_and_keeps_empty_images(spark, tmp_path):
     images = spark.createDataFrame([(0, "a.jpg", 4, 3), (1, "b.jpg", 4, 3)], "id bigint, file_name string, width int, height int")
     items = spark.createDataFrame([(0, 0, "a<b", 1.0, 2.0, 3.0, 4.0)], "image_id bigint, id bigint, name string, x double, y double, w double, h double")
