@@ -156,6 +156,28 @@ def test_detached_parts_equal_a_search_by_pixel(seed):
     assert len(_pixels(M.keep_near_segments([{"start": 5, "len": 100}], width, 0.1))) == 100  # a run that wraps rows
 
 
+@pytest.mark.parametrize("pairs", [3, 1 << 20])
+def test_detached_parts_of_many_masks_are_compared_at_once(monkeypatch, pairs):
+    r, width, hypot, calls = np.random.default_rng(9), 40, np.hypot, []
+    rows = [(k, int(a), int(n)) for k in range(300) for a, n in zip(r.integers(0, 1200, r.integers(1, 12)), r.integers(0, 50, 12))]
+    want = [(k, a["start"], a["len"]) for k in range(300) for a in M.keep_near_segments([{"start": a, "len": n} for m, a, n in rows if m == k], width, 0.2)]
+    monkeypatch.setattr(M, "PAIRS", pairs)
+    monkeypatch.setattr(np, "hypot", lambda *a: calls.append(1) or hypot(*a))
+    got = M.near_segments(*np.array(rows).T, width, 0.2)
+    assert [tuple(map(int, x)) for x in zip(*got)] == want and len(want) > 600
+    assert pairs == 3 or len(calls) == 2  # not one for each mask
+
+
+def test_area_of_near_segments_and_boxes_of_no_pixels(spark):
+    masks = spark.createDataFrame([(0, [(0, 6), (2622, 2)]), (1, []), (2, None), (3, [(70, 3)])], f"k int, m {M.RUNS}")
+    got = masks.select("k", M.near_area(64)("m").alias("n"), M.mask_area(M.filter_segments(64)("m")).alias("want")).collect()
+    assert {r["k"]: r["n"] for r in got} == {0: 6, 1: 0, 2: None, 3: 3} and all(r["n"] == r["want"] for r in got)
+    boxes_ = [(0, 5.0, 9.0, 3.0, 2.0), (1, 60.0, 46.0, 90.0, 90.0), (2, -3.0, -2.0, 1.0, 0.0), (3, 0.0, 5.0, 9.0, 4.0)]
+    df = spark.createDataFrame(boxes_, "k int, x1 double, y1 double, x2 double, y2 double").select("k", M.box_to_mask(*G.box(), 64, 48).alias("m"))
+    assert df.schema["m"].dataType.simpleString() == M.RUNS
+    assert {r["k"]: [tuple(x) for x in r["m"]] for r in df.collect()} == {0: [], 1: [(46 * 64 + 60, 4), (47 * 64 + 60, 4)], 2: [(0, 2)], 3: []}
+
+
 def test_mask_intersection_equals_sets(spark):
     r = np.random.default_rng(4)
     made = lambda: [(int(a), int(b - a)) for a, b in np.sort(r.choice(60, (1, 8), False)).reshape(-1, 2)][: r.integers(0, 5)]
