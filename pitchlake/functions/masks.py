@@ -36,27 +36,62 @@ def mask_to_box(mask: Column, width: int) -> Column:
     return F.when(F.size(mask) > 0, got)
 
 
+def shared_pixels(pair_a: np.ndarray, a: tuple[np.ndarray, np.ndarray], pair_b: np.ndarray, b: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Pixels that the masks of each of ``n`` pairs share, from the runs (start, len) of all of them and the pairs these are of.
+
+    A run of a has as many pixels of b as there are before its end, less those before its start. Runs of a mask don't overlap.
+    """
+    (pair_a, start_a, size_a), (pair_b, start_b, size_b) = ((pair[size > 0], start[size > 0].astype(np.int64), size[size > 0].astype(np.int64)) for pair, (start, size) in ((pair_a, a), (pair_b, b)))
+    if not len(pair_a) or not len(pair_b):
+        return np.zeros(n, np.int64)
+    least = min(start_a.min(), start_b.min())
+    wide = max((start_a + size_a).max(), (start_b + size_b).max()) - least + 1
+    lo, at = pair_a * wide + start_a - least, pair_b * wide + start_b - least
+    if (at[1:] < at[:-1]).any():
+        order = np.argsort(at, kind="stable")
+        at, size_b = at[order], size_b[order]
+    before = np.cumsum(size_b) - size_b
+
+    def up_to(x: np.ndarray) -> np.ndarray:
+        k = np.maximum(np.searchsorted(at, x, side="right") - 1, 0)
+        return before[k] + np.clip(x - at[k], 0, size_b[k])
+
+    # Sums of whole numbers, which are exact as floats up to 2**53.
+    return np.bincount(pair_a, up_to(lo + size_a) - up_to(lo), n).astype(np.int64)
+
+
+def _runs_of(masks: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The mask that each run is of, and (start, len) of the runs."""
+    runs = masks.flatten()
+    held = np.repeat(np.arange(len(masks)), pc.fill_null(pc.list_value_length(masks), 0).to_numpy())
+    return held, (runs.field("start").to_numpy(), runs.field("len").to_numpy())
+
+
 def mask_intersection(a: Column, b: Column) -> Column:
-    """Pixels that two masks share: one sweep over where runs begin and end. Runs of a mask don't overlap."""
+    """Pixels that two masks share, over Arrow, a batch at once. Runs of a mask don't overlap."""
 
-    def edges(mask: Column, weight: int) -> Column:
-        one = lambda at, w: F.struct(at.cast("int").alias("at"), F.lit(w).alias("w"))
-        return F.flatten(F.transform(mask, lambda r: F.array(one(r["start"], weight), one(r["start"] + r["len"], -weight))))
+    @F.arrow_udf("int")
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        n = shared_pixels(*_runs_of(a), *_runs_of(b), len(a))
+        return pa.array(n.astype(np.int32), mask=pc.or_(a.is_null(), b.is_null()).to_numpy(False))
 
-    # In both masks where the weights on hold, 1 and 2, make 3.
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("on"), F.lit(0).alias("n"))
-    swept = F.aggregate(
-        F.array_sort(F.concat(edges(a, 1), edges(b, 2))),
-        start,
-        lambda s, e: F.struct(e["at"].alias("at"), (s["on"] + e["w"]).alias("on"), F.when(s["on"] == 3, s["n"] + e["at"] - s["at"]).otherwise(s["n"]).alias("n")),
-    )
-    return swept["n"]
+    return of(a, b)
 
 
 def mask_overlap(a: Column, b: Column, metric: str = "ios") -> Column:
-    part, na, nb = mask_intersection(a, b), mask_area(a), mask_area(b)
-    whole = F.least(na, nb) if metric == "ios" else na + nb - part
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    """The part that two masks share of the smaller one (``ios``) or of both (``iou``), over Arrow as ``mask_intersection``."""
+
+    @F.arrow_udf("double")
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        (pair_a, runs_a), (pair_b, runs_b) = _runs_of(a), _runs_of(b)
+        part = shared_pixels(pair_a, runs_a, pair_b, runs_b, len(a))
+        na, nb = np.bincount(pair_a, runs_a[1], len(a)), np.bincount(pair_b, runs_b[1], len(a))
+        whole = np.minimum(na, nb) if metric == "ios" else na + nb - part
+        # A null's share of a mask of some pixels is null, as expressions of columns have it.
+        none = pc.or_(a.is_null(), b.is_null()).to_numpy(False) & (na + nb > 0) & (metric == "ios")
+        return pa.array(np.divide(part, whole, out=np.zeros(len(a)), where=whole > 0), mask=none)
+
+    return of(a, b)
 
 
 def _row_runs(mask: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -175,9 +210,8 @@ def keep_near_segments(runs: list, width: int, relative_distance: float) -> list
 
 
 def _near_of(masks: pa.Array, width: int, relative_distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    runs = masks.flatten()
-    held = np.repeat(np.arange(len(masks)), pc.fill_null(pc.list_value_length(masks), 0).to_numpy())
-    return near_segments(held, runs.field("start").to_numpy(), runs.field("len").to_numpy(), width, relative_distance)
+    held, runs = _runs_of(masks)
+    return near_segments(held, *runs, width, relative_distance)
 
 
 def filter_segments(width: int, relative_distance: float = 0.03):

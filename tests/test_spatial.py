@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pitchlake.functions import geometry as G
 from pitchlake.functions import masks as M
 from pitchlake.operators import filters, spatial
@@ -187,6 +188,23 @@ def test_mask_intersection_equals_sets(spark):
     assert {r["k"]: r["n"] for r in got.collect()} == {k: len(sets(a) & sets(b)) for k, a, b in rows}
 
 
+def test_mask_overlap_of_nulls_empty_masks_and_runs_in_any_order(spark):
+    one, runs = [(10, 5)], [(14, 0), (13, 9), (14, 0), (2, 3)]
+    rows = [(0, one, runs), (1, runs, one), (2, None, one), (3, one, None), (4, None, []), (5, [], one), (6, [], []), (7, one, one)]
+    df = spark.createDataFrame(rows, f"k int, a {M.RUNS}, b {M.RUNS}")
+    got = df.select("k", M.mask_intersection(F.col("a"), F.col("b")).alias("n"), *[M.mask_overlap(F.col("a"), F.col("b"), m).alias(m) for m in ("ios", "iou")]).orderBy("k").collect()
+    assert [r["n"] for r in got] == [2, 2, None, None, None, 0, 0, 5]
+    assert [r["ios"] for r in got] == [0.4, 0.4, None, None, 0.0, 0.0, 0.0, 1.0]
+    assert [r["iou"] for r in got] == [2 / 15, 2 / 15, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_masks_are_made_of_joined_pairs(spark):
+    plan = entry.queries()["mask_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    tree = plan.split("== Initial Plan ==")[-1]
+    join = tree.index("Join")
+    assert "array_repeat" in tree[:join] and "array_repeat" not in tree[join:] and "transform(" not in tree
+
+
 def test_filters(spark):
     df = boxes(spark, (1, 1, 1, 0.4, (0, 0, 10, 10)), (1, 2, 2, 0.5, (0, 0, 11, 10)), (1, 3, 4, 0.6, (0, 0, 1, 1)))
     assert ids(filters.confident(df, 0.4)) == [2, 3]
