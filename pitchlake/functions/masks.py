@@ -68,14 +68,17 @@ def _runs_of(masks: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]
 
 
 def mask_intersection(a: Column, b: Column) -> Column:
-    """Pixels that two masks share, over Arrow, a batch at once. Runs of a mask don't overlap."""
+    """Pixels that two masks share, over Arrow, a batch at once. Runs of a mask don't overlap.
+
+    It counts as not deterministic, so that a condition on it isn't pushed below and it isn't computed twice.
+    """
 
     @F.arrow_udf("int")
     def of(a: pa.Array, b: pa.Array) -> pa.Array:
         n = shared_pixels(*_runs_of(a), *_runs_of(b), len(a))
         return pa.array(n.astype(np.int32), mask=pc.or_(a.is_null(), b.is_null()).to_numpy(False))
 
-    return of(a, b)
+    return of.asNondeterministic()(a, b)
 
 
 def mask_overlap(a: Column, b: Column, metric: str = "ios") -> Column:
@@ -91,7 +94,7 @@ def mask_overlap(a: Column, b: Column, metric: str = "ios") -> Column:
         none = pc.or_(a.is_null(), b.is_null()).to_numpy(False) & (na + nb > 0) & (metric == "ios")
         return pa.array(np.divide(part, whole, out=np.zeros(len(a)), where=whole > 0), mask=none)
 
-    return of(a, b)
+    return of.asNondeterministic()(a, b)
 
 
 def _row_runs(mask: np.ndarray, start: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, ...]:

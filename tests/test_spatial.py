@@ -198,9 +198,10 @@ def test_mask_overlap_of_nulls_empty_masks_and_runs_in_any_order(spark):
     assert [r["iou"] for r in got] == [2 / 15, 2 / 15, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 
 
-def test_masks_are_made_of_joined_pairs(spark):
-    plan = entry.queries()["mask_overlap"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+def test_masks_are_made_of_joined_pairs_and_compared_once(spark):
+    plan = entry.queries()["mask_identity_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     tree = plan.split("== Initial Plan ==")[-1]
+    assert tree.count("ArrowEvalPython") == 1
     join = tree.index("Join")
     assert "array_repeat" in tree[:join] and "array_repeat" not in tree[join:] and "transform(" not in tree
 
