@@ -10,7 +10,7 @@ from ..functions import geometry as G
 from ..functions import text as X
 from ..schemas import BOX, DEFAULTS, Settings
 from . import filters, spatial
-from .lineage import written
+from .lineage import more_parts, written
 
 SPLITS = ("train", "valid", "test")
 
@@ -23,18 +23,20 @@ def split_order(split: Column | str) -> Column:
 def with_ids(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """Numbers from 0 over the whole table in the given order, without bringing it into one task.
 
-    The rows are range-partitioned, into as many parts as a shuffle has, and each part is numbered by itself; the counts
-    of the parts (one row each) give the offsets. The parts are written to the checkpoint folder first, so that both reads of
-    them, and a task that runs again, see the same ones.
+    The rows are range-partitioned, into more parts than a shuffle has where their bytes ask for it, and sorted within each
+    part, so that their place in it numbers them without another shuffle; the counts of the parts (one row each) give the
+    offsets. The parts are written to the checkpoint folder first, so that both reads of them, and a task that runs again,
+    see the same ones.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     names = [f"_o{k}" for k in range(len(cols))]
-    parts = df.withColumns(dict(zip(names, cols))).repartitionByRange(*names).withColumn("_part", F.spark_partition_id())
-    parts = written(parts)
+    parts = df.withColumns(dict(zip(names, cols)))
+    parts = parts.repartitionByRange(*more_parts(df), *names).sortWithinPartitions(*names)
+    parts = written(parts.withColumn("_at", F.monotonically_increasing_id()))  # the part in the upper 31 bits, the place in the lower 33
+    parts = parts.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    got = parts.withColumn("_rn", F.row_number().over(W.partitionBy("_part").orderBy(*names)))
-    return got.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long")).drop("_part", "_before", "_rn", *names)
+    return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_before", "_at", *names)
 
 
 def predictions(boxes: DataFrame, s: Settings = DEFAULTS, jersey_class: int = 4, scoreboard_class: int = 0, referee_class: int = 3) -> DataFrame:
@@ -52,13 +54,13 @@ def predictions(boxes: DataFrame, s: Settings = DEFAULTS, jersey_class: int = 4,
 def build(boxes: DataFrame, new_category: int, profile: str = "filtered", s: Settings = DEFAULTS, jersey_class: int = 4) -> DataFrame:
     """The merged dataset with its ids. ``basic`` takes every prediction above ``basic_confidence``, ``filtered`` those of ``predictions``."""
     if profile == "filtered":
-        got = predictions(boxes, s, jersey_class)
+        predicted = predictions(boxes, s, jersey_class).withColumn("category_id", F.lit(new_category))
+        got = merged(boxes.where(F.col("class_id") != jersey_class), predicted)
     elif profile == "basic":
-        got = filters.confident(filters.of_class(boxes, jersey_class), s.basic_confidence)
+        got = merged_at_once(boxes, new_category, s.basic_confidence, jersey_class)
     else:
         raise ValueError(f"profile is basic or filtered, not {profile}")
-    truth = boxes.where(F.col("class_id") != jersey_class)
-    return with_ids(merged(truth, got.withColumn("category_id", F.lit(new_category))), ["image_id", "origin", "seq"], "id")
+    return with_ids(got, ["image_id", "origin", "seq"], "id")
 
 
 def with_labels(images: DataFrame, labels: DataFrame) -> DataFrame:
@@ -79,6 +81,17 @@ def merged(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def merged_at_once(boxes: DataFrame, new_category: int, above: float, jersey_class: int) -> DataFrame:
+    """``merged`` of all other boxes and of the jersey boxes above a confidence, which are rows of one table: one scan and one window."""
+    jersey = F.col("class_id") == jersey_class
+    rows = boxes.where(F.when(jersey, F.col("confidence") > above).otherwise(F.col("class_id") != jersey_class))
+    rows = rows.withColumns({"origin": jersey.cast("int"), "score": F.when(jersey, F.col("confidence"))})
+    seq = F.row_number().over(W.partitionBy("image_id", "origin").orderBy(F.desc("score"), "det_idx"))
+    x, y, w, h = G.xyxy_to_xywh(*G.box())
+    category = F.when(jersey, F.lit(new_category)).otherwise(F.col("class_id"))
+    return rows.select("image_id", "origin", seq.alias("seq"), category.alias("category_id"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), (w * h).alias("area"), "score")
+
+
 def with_new_category(categories: DataFrame, name: str) -> DataFrame:
     """The categories and one more, whose id is how many there were."""
     new = categories.agg(F.count("*").cast("int").alias("id")).select("id", F.lit(name).alias("name"), F.lit("none").alias("supercategory"))

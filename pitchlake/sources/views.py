@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.lineage import more_parts
 from ..schemas import CLASS_NAMES
 
 COLORS = {0: ("red", "#d62728"), 1: ("blue", "#1f77b4")}
@@ -17,12 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each box: image_id, det_idx from 1, class_id, confidence, x1, y1, x2, y2."""
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    """A row for each box: image_id, det_idx from 1, class_id, confidence, x1, y1, x2, y2.
+
+    A large table is spread over more parts than a shuffle has, so that what a task sorts doesn't grow with it.
+    """
+    # Numbered by the frame's own name, so that what follows knows how the rows are spread and needs no second shuffle; all else is derived after it.
+    order = W.partitionBy("image_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    if n := more_parts(rows):
+        rows = rows.repartition(*n, "image_id")
     x, y = F.col("l_partkey") % 60, F.col("l_suppkey") % 40
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("image_id"),
-        F.row_number().over(order).alias("det_idx"),
+    return rows.withColumn("det_idx", F.row_number().over(order)).select(
+        "image_id",
+        "det_idx",
         (F.col("l_suppkey") % 5).cast("int").alias("class_id"),
         (F.col("l_quantity").cast("int") / F.lit(50.0)).alias("confidence"),
         x.cast("double").alias("x1"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pitchlake.functions import models
 from pitchlake.functions import text as X
 from pitchlake.operators import annotations as A
-from pitchlake.operators import drawing, teams
+from pitchlake.operators import drawing, lineage, teams
 from pitchlake.sources import files
 from pitchlake.sources import views as V
 
@@ -127,6 +127,26 @@ def test_lookups(spark):
     assert A.with_ids(images.limit(0), ["id"], "n").isEmpty()
 
 
+def test_numbering_sorts_once_in_parts_of_bounded_size(spark, monkeypatch):
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k"), (F.col("id") % 3).alias("v"))
+    for size, most in ((lineage.PART_BYTES, 5000), (2000, 500)):
+        monkeypatch.setattr(lineage, "PART_BYTES", size)
+        got = A.with_ids(df, [-F.col("v"), "k"], "n")
+        assert [r["n"] for r in got.orderBy(F.desc("v"), "k").collect()] == list(range(5000))
+        assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) <= most
+
+
+def test_basic_merge_is_one_scan_and_equals_the_union(spark):
+    rows = [(1, 1, 4, 0.35), (1, 2, 4, 0.9), (1, 3, 2, 0.1), (1, 4, None, 0.9), (1, 5, 4, 0.3), (1, 6, 4, None), (1, 7, 0, None), (1, 8, 4, 0.9), (2, 1, 4, float("nan")), (2, 2, 4, 0.5)]
+    df = spark.createDataFrame([(*r, 0.0, 1.0, 4.0, 4.0) for r in rows], "image_id bigint, det_idx int, class_id int, confidence double, x1 double, y1 double, x2 double, y2 double")
+    want = A.merged(df.where("class_id <> 4"), df.where("class_id = 4 and confidence > 0.3").withColumn("category_id", F.lit(9)))
+    got = A.merged_at_once(df, 9, 0.3, 4)
+    assert got.columns == want.columns and got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 7
+    plan = A.merged_at_once(V.detections(spark, "/root/testdata/sf0.001"), 9, 0.3, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("Exchange") == 1
+
+
 def test_labels(spark):
     df = spark.createDataFrame([("7", "Ann"), (None, None)], "n string, p string")
     assert [r[0] for r in df.select(X.player_label(F.col("n"), F.col("p"))).collect()] == ["#7 Ann", "#None None"]
