@@ -5,11 +5,13 @@ import time
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.operators import sequence as S
 from pitchlake.schemas import DEFAULTS
+from pitchlake.streaming import identity as loop
 from pitchlake.streaming import tracker, validate
 
 
@@ -123,6 +125,29 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_loop_compares_the_boxes_of_all_frames_at_once(monkeypatch):
+    r, ids = random.Random(3), ("frame_idx", "det_idx", "class_id", "tracker_id", "value", "x1", "y1", "x2", "y2")
+    rows = [(f, k + 1, *r.choice([(2, r.randint(1, 3), None), (4, None, r.choice(["7", "8", None]))]), *(lambda x: (x, 0.0, x + 30.0, 30.0))(float(r.choice([0, 1, 40])))) for f in range(400) for k in range(r.randint(0, 5))]
+    boxes, overlaps = pd.DataFrame(rows, columns=ids), loop.smaller_overlaps
+    held, want = {}, []
+    for f in range(400):  # one frame after the other, as a state machine
+        own = [x for x in rows if x[0] == f]
+        if f % 5 == 0:
+            part = lambda p, n: max(0.0, min(p[7], n[7]) - max(p[5], n[5])) / 30
+            for _, p, n in sorted((-part(p, n), p, n) for p in own for n in own if p[2] == 2 and n[2] == 4 and part(p, n) > 0.9):
+                held[p[3]] = validate.step(held.get(p[3], (None, 0, None, None)), [f], [n[4]], 3)
+        want += [(f, x[1], x[3], held.get(x[3], (None,) * 3)[2]) for x in own if x[2] == 2]
+    for pairs in (4, 1 << 20):
+        calls, tracks, got = [], {}, []
+        monkeypatch.setattr(loop, "PAIRS", pairs)
+        monkeypatch.setattr(loop, "smaller_overlaps", lambda a, b: calls.append(len(a)) or overlaps(a, b))
+        for lo, hi in ((0, 150), (150, 400)):  # two batches with the state carried on
+            out = loop._video(boxes[(boxes["frame_idx"] >= lo) & (boxes["frame_idx"] < hi)].reset_index(drop=True), tracks, DEFAULTS)
+            got += [tuple(x) for x in out.astype(object).to_numpy()]
+        assert got == want and len({x[3] for x in want}) > 1
+        assert len(calls) == 2 if pairs > 4 else max(calls) <= 25
+
+
 def test_idle_tracks_are_forgotten(spark, tmp_path):
     """The state of a track that the watermark has passed is dropped: its next reads start a new streak."""
     ddl = "tracker_id bigint, frame_idx int, value string"
